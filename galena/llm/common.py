@@ -80,3 +80,20 @@ def lower_ascii(text: Column) -> Column:
 def words_by(text: Column, separators: str) -> Column:
     """The words between runs of separators; of a null text, none."""
     return F.coalesce(F.array_remove(F.split(text, separators), ""), F.array().cast("array<string>"))
+
+
+def bounded_batches(spark: SparkSession, n_bytes: int = 8 << 20) -> None:
+    """Arrow batches to Python workers end at n_bytes, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
+
+
+def slices(texts: list, n_chars: int):
+    """Index ranges of texts with about n_chars characters each."""
+    at = total = 0
+    for i, t in enumerate(texts):
+        total += len(t or "")
+        if total >= n_chars:
+            yield at, i + 1
+            at, total = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)

@@ -39,7 +39,7 @@ def occurrences(text: Column, mark: str) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words inside windows of WINDOW words that occur twice or more in the text, the first included."""
     n_windows = F.size(words) - (WINDOW - 1)
-    hashes = F.transform(F.sequence(F.lit(1), n_windows), lambda i: F.xxhash64(F.array_join(F.slice(words, i, WINDOW), " ")))
+    hashes = F.transform(F.sequence(F.lit(0), n_windows - 1), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
 
     def covered(found: Column) -> Column:
         """found: the sorted starts of repeated windows. Each covers its window or up to the next start."""
