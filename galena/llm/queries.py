@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, quality, warc
+from . import bpe, decontam, langid, quality, tokenpack, warc
 from .common import Scratch, checkpoint, table
 from .registry import query
 
@@ -17,6 +17,18 @@ def op1(spark, sf_dir):
         return checkpoint(found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
+@query("op2_token_files")
+def op2(spark, sf_dir):
+    with Scratch(spark) as scratch:
+        tokenpack.write(table(spark, sf_dir, "documents"), at := scratch.path())
+        return tokenpack.index(spark, at)
+
+
+@query("op4_bpe")
+def op4(spark, sf_dir):
+    return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 @query("op6_quality_rules")
 def op6(spark, sf_dir):
     return quality.measure(table(spark, sf_dir, "documents")).drop("cleaned")
@@ -26,3 +38,11 @@ def op6(spark, sf_dir):
 def op7(spark, sf_dir):
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op10_language")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    prototypes = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
+    found = langid.predict(docs.select("doc_id", "text"), prototypes)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
