@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, quality, tokenpack, warc
+from . import bpe, decontam, langid, neardup, quality, tokenpack, warc
 from .common import Scratch, checkpoint, table
 from .registry import query
 
@@ -29,6 +29,11 @@ def op4(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+@query("op5_near_duplicates")
+def op5(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 @query("op6_quality_rules")
 def op6(spark, sf_dir):
     return quality.measure(table(spark, sf_dir, "documents")).drop("cleaned")
