@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, neardup, quality, tokenpack, warc
+from . import bpe, decontam, langid, neardup, pii, quality, tokenpack, warc
 from .common import Scratch, checkpoint, table
 from .registry import query
 
@@ -45,6 +45,11 @@ def op7(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op9_surrogates")
+def op9(spark, sf_dir):
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op10_language")
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
