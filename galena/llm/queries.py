@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, neardup, pii, quality, tokenpack, warc
+from . import bpe, decontam, langid, neardup, pii, quality, suffixdedup, tokenpack, warc
 from .common import Scratch, checkpoint, table
 from .registry import query
 
@@ -24,6 +24,11 @@ def op2(spark, sf_dir):
         return tokenpack.index(spark, at)
 
 
+@query("op3_suffix_dedup")
+def op3(spark, sf_dir):
+    return suffixdedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
 @query("op4_bpe")
 def op4(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
