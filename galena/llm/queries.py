@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, neardup, pii, quality, suffixdedup, tokenpack, warc
+from . import bpe, decontam, htmltext, langid, neardup, pii, quality, suffixdedup, tokenpack, warc
 from .common import Scratch, checkpoint, table
 from .registry import query
 
@@ -50,6 +50,11 @@ def op7(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op8_html_text")
+def op8(spark, sf_dir):
+    return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep_html=False)
+
+
 @query("op9_surrogates")
 def op9(spark, sf_dir):
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
