@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galena.functions.vectors import dot
+from galena.session import prepared
 
 #: Queries of at most so many bytes are sent to all tasks as a matrix.
 BROADCAST_BYTES = 64 << 20
@@ -29,7 +30,7 @@ def vector_topk(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: bo
     """
     facts = queries.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
     n_blocks = max(1, -(-(facts["n"] * (facts["d"] or 0) * 8) // max_broadcast_bytes))
-    spark, out = queries.sparkSession, None
+    spark, out = prepared(queries.sparkSession), None
     for i in range(n_blocks):
         part = queries if n_blocks == 1 else queries.filter(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == i)
         rows = part.select("q", "vec").toPandas()

@@ -21,3 +21,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+from . import relational, retrieval  # noqa: E402, F401
