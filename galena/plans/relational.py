@@ -733,7 +733,7 @@ def f14(spark, sf):
     return t(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("k")).agg(r6(F.avg(u)).alias("along"), r6(F.max(v) - F.min(v)).alias("across"))
 
 
-@query("F15_window_clamp", "SELECT p_partkey, greatest(0.0, least(p_size - 6.0, 50 - 12.0)) AS x FROM part")
+@query("F15_window_clamp", "SELECT p_partkey, CAST(greatest(0.0, least(p_size - 6.0, 50 - 12.0)) AS DOUBLE) AS x FROM part")
 def f15(spark, sf):
     return t(spark, sf, "part").select("p_partkey", geo.window_in(F.col("p_size").cast("double"), F.lit(12.0), F.lit(50.0)).alias("x"))
 

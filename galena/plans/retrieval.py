@@ -224,7 +224,7 @@ def w11(spark, sf):
     return loo(spark, sf).filter("rank = 1 and not hit").orderBy(F.desc("score"), "q").limit(20).select("q", "g", r6("score").alias("score"))
 
 
-@query("W14_miss_report", f"WITH {LOO} SELECT q, ql AS label, CAST(min(CASE WHEN hit THEN rk END) AS BIGINT) AS first_hit FROM top GROUP BY q, ql HAVING min(CASE WHEN hit THEN rk END) IS DISTINCT FROM 1")
+@query("W14_miss_report", f"WITH {LOO} SELECT q, CAST(ql AS BIGINT) AS label, CAST(min(CASE WHEN hit THEN rk END) AS BIGINT) AS first_hit FROM top GROUP BY q, ql HAVING min(CASE WHEN hit THEN rk END) IS DISTINCT FROM 1")
 def w14(spark, sf):
     first = loo(spark, sf).groupBy("q", F.col("ql").alias("label")).agg(big(F.min(F.when(F.col("hit"), F.col("rank")))).alias("first_hit"))
     return first.filter(~F.col("first_hit").eqNullSafe(F.lit(1)))

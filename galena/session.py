@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Unions must not claim their inputs' partitioning: with adaptive execution two inputs of one hash partitioning can be coalesced
-    differently, and an aggregate above them that trusts the claim doesn't bring equal keys together."""
+    """Set what the operators need, once for each context and session.
+
+    Unions must not claim their inputs' partitioning: with adaptive execution two inputs of one hash partitioning can be coalesced
+    differently, and an aggregate above them that trusts the claim doesn't bring equal keys together. Workers get the package, so
+    that it needn't be installed on the executors.
+    """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    sc = spark.sparkContext
+    if not getattr(sc, "_galena_sent", False):
+        sc._galena_sent = True
+        path = os.path.join(tempfile.mkdtemp(prefix="galena-"), "galena.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(PACKAGE):
+                for n in names:
+                    if n.endswith(".py"):
+                        z.write(os.path.join(folder, n), os.path.join("galena", os.path.relpath(os.path.join(folder, n), PACKAGE)))
+        sc.addPyFile(path)
     return spark
