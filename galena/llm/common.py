@@ -87,7 +87,7 @@ def words_by(text: Column, separators: str) -> Column:
 
 def bounded_batches(spark: SparkSession, n_bytes: int = 8 << 20) -> None:
     """Arrow batches to Python workers end at n_bytes, however long the texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
+    prepared(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
 
 
 def slices(texts: list, n_chars: int):
