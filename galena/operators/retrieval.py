@@ -34,13 +34,13 @@ def vector_topk(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: bo
     for i in range(n_blocks):
         part = queries if n_blocks == 1 else queries.filter(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == i)
         rows = part.select("q", "vec").toPandas()
-        matrix = np.array(rows.vec.tolist(), np.float64).reshape(len(rows), -1)
+        matrix = np.array(rows.vec.tolist(), np.float64).reshape(len(rows), facts["d"] or 0)
         sent = spark.sparkContext.broadcast((rows.q.to_numpy(np.int64), matrix))
 
         def search(batches, sent=sent):
             ids, matrix = sent.value
             found: list = [np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)]
-            for pdf in batches:
+            for pdf in batches if len(ids) else ():
                 for a in range(0, len(pdf), BLOCK):
                     g = pdf.g.to_numpy(np.int64)[a : a + BLOCK]
                     score = matrix @ np.array(pdf.vec.iloc[a : a + BLOCK].tolist(), np.float64).T

@@ -36,7 +36,7 @@ def build_rows(catalog: DataFrame, key: str, photo: str, group: str | None, fiel
 
 def read_label_map(spark: SparkSession, path: str) -> DataFrame:
     """pos, file, label of a JSON object {file: label}, in the order of the file."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     pairs = F.map_entries(F.from_json("value", T.MapType(T.StringType(), T.StringType())))
     return text.select(F.posexplode(pairs).alias("pos", "e")).select("pos", F.col("e.key").alias("file"), F.col("e.value").alias("label"))
 
