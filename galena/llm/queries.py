@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmltext, langid, neardup, pii, quality, suffixdedup, tokenpack, warc
+from . import bpe, decontam, htmltext, langid, neardup, oracles, pii, quality, suffixdedup, tokenpack, warc
 from .common import Scratch, checkpoint, table
 from .registry import query
 
 
-@query("op1_warc")
+@query("op1_warc", oracles.WARC)
 def op1(spark, sf_dir):
     with Scratch(spark) as scratch:
         warc.write_archive(table(spark, sf_dir, "pages"), at := scratch.path())
@@ -34,17 +34,17 @@ def op4(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-@query("op5_near_duplicates")
+@query("op5_near_duplicates", oracles.NEAR_DUPLICATES)
 def op5(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
-@query("op6_quality_rules")
+@query("op6_quality_rules", oracles.QUALITY)
 def op6(spark, sf_dir):
     return quality.measure(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
-@query("op7_decontamination")
+@query("op7_decontamination", oracles.DECONTAMINATION)
 def op7(spark, sf_dir):
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
