@@ -323,13 +323,16 @@ def repeated(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFra
     """doc, version, from, to: byte ranges of docs (doc, version, text) that together cover every repeated string, and nothing else."""
     bounded_batches(docs.sparkSession)
     found = scratch.write(cut(docs, length))
-    # copies of a content are counted within tasks first; then how many contents a gram has
-    classes = found.groupBy("gram", "content").agg(F.count("*").alias("n"), *(F.first(c).alias(f"of_{c}") for c in ("doc", "version", "lo")))
-    classes = scratch.write(classes)
-    several = classes.groupBy("gram").agg(F.count("*").alias("contents"), F.max("n").alias("most"), F.min("n").alias("least"))
-    several = several.filter("contents > 1 or most > 1").select(F.col("gram").alias("g"), "contents", "least")
-    known = classes.join(several, F.col("gram") == F.col("g")).select(F.col("content").alias("c"), "n", (F.col("contents") > 1).alias("border"), "of_doc", "of_version", "of_lo")
-    met = scratch.write(found.join(known, F.col("content") == F.col("c")).drop("c", "content"))
+    # most grams occur once; what goes on are the segments of the others
+    print_ = F.xxhash64("content")
+    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min(print_).alias("x"), F.max(print_).alias("y")).filter("n > 1")
+    grams = grams.select(F.col("gram").alias("g"), (F.col("x") != F.col("y")).alias("border"))
+    met = scratch.write(found.join(grams, F.col("gram") == F.col("g")).drop("g"))
+    scratch.remove(found)
+    # copies of a content are counted within tasks first; one of its segments stands for it
+    classes = met.groupBy("content").agg(F.count("*").alias("n"), *(F.first(c).alias(f"of_{c}") for c in ("doc", "version", "lo"))).withColumnRenamed("content", "c")
+    before, met = met, scratch.write(met.join(classes, F.col("content") == F.col("c")).filter("border or n > 1").drop("c", "content"))
+    scratch.remove(before)
     whole = met.filter("n > 1").select("doc", "version", F.col("lo").alias("from"), (F.col("hi") + length).alias("to"))
     # at borders: each content once, by the segment that stands for it
     stands = F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("version") == F.col("of_version")) & (F.col("lo") == F.col("of_lo"))
