@@ -6,7 +6,7 @@ separators and case stay, names keep title, gender and script, a valid check dig
 share a surrogate and no surrogate is an entity of the corpus: the candidates are checked by grouping and joining, and those
 that collide are derived again with the next attempt number.
 
-DataFrame functions only. Documents without an entity are passed through by the scan; of the others the text is shuffled once.
+DataFrame functions only. Documents that can't hold an entity are passed through by the scan; of the others the text is shuffled once.
 
 Defined cases: a null text stays null, an empty one empty; repeated rows get equal replacements; overlapping candidates
 are resolved by the leftmost match and then the order of KINDS; other columns are kept; empty tables give empty results.
@@ -33,8 +33,8 @@ KINDS = {
     "person": r"(?<!\p{L})(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sr|Sra|Srta|Mme|Mlle)\. |(?:Herr|Frau|Monsieur|Madame|Señora|Señor|Господин|Госпожа|господин|госпожа) )\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)?",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
-#: A text without any of these holds no entity.
-HINT = r"[@0-9]|\. \p{Lu}|Herr |Frau |Monsieur |Madame |Señor|оспо"
+#: A text without a digit, an @ and any of these holds no entity.
+TITLES = ("Mr. ", "Mrs. ", "Ms. ", "Miss. ", "Dr. ", "Prof. ", "Sr. ", "Sra. ", "Srta. ", "Mme. ", "Mlle. ", "Herr ", "Frau ", "Monsieur ", "Madame ", "Señor", "осподин ", "оспожа ")
 FEMALE = r"^(?:Mrs|Ms|Miss|Sra|Srta|Mme|Mlle|Frau|Madame|Señora|Госпожа|госпожа)"
 MALE = r"^(?:Mr|Sr|Herr|Monsieur|Señor |Господин|господин)"
 LATIN, CYRILLIC = ("ba de fi go lu ma ne pi ro su ta ve ki lo na ri".split(), "ба де фи го лу ма не пи ро су та ве ки ло на ри".split())
@@ -155,15 +155,22 @@ def rendered(entity: Column, kind: Column, cores: Column) -> Column:
     return F.when(kind.isin("phone", "card", "ssn"), numeric).when(kind == "iban", spaced).when(kind == "person", person).otherwise(cased)
 
 
+def may_hold(text: Column) -> Column:
+    """Whether the patterns need to look at the text at all. False for null."""
+    out = text.rlike("[0-9@]")
+    for title in TITLES:
+        out = out | F.contains(text, F.lit(title))
+    return F.coalesce(out, F.lit(False))
+
+
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """The documents with their entities replaced, and n_entities, the number of mentions."""
     spark, shape = docs.sparkSession, docs.drop("n_entities")
     body = F.col(text)
-    found = F.when(body.rlike(HINT), F.regexp_extract_all(body, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    marked = shape.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
-    holders = marked.filter(F.size("__found") > 0).withColumn("__row", F.sha2(body, 256))
+    found = F.regexp_extract_all(body, F.lit(ANY), F.lit(0))
+    holders = shape.filter(may_hold(body)).withColumn("__row", F.sha2(body, 256))
     with Scratch(spark) as scratch:
-        mentions = holders.select("__row", F.explode(F.array_distinct("__found")).alias("entity")).withColumn("what", kind_of(F.col("entity"))).filter("what is not null")
+        mentions = holders.select("__row", F.explode(F.array_distinct(found)).alias("entity")).withColumn("what", kind_of(F.col("entity"))).filter("what is not null")
         mentions = scratch.write(mentions.withColumn("parts", parts_of(F.col("entity"), F.col("what"))).distinct())
         parts = mentions.select("__row", "entity", "what", F.posexplode("parts").alias("nth", "part")).select("__row", "entity", "what", "nth", "part.kind", "part.canon")
         table = assign(parts.select("kind", "canon"), scratch, key)
@@ -172,9 +179,9 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
         changed = cores.select("__row", "entity", rendered(F.col("entity"), F.col("what"), F.col("cores")).alias("new"))
         of_row = checkpoint(changed.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias("__new")).withColumnRenamed("__row", "__of"))
     joined = holders.join(of_row, F.col("__row") == F.col("__of"), "left")
-    new = F.transform("__found", lambda e: F.coalesce(F.element_at("__new", e), e))
+    new = F.transform(found, lambda e: F.coalesce(F.element_at("__new", e), e))
     rebuilt = F.array_join(F.zip_with(F.split(body, ANY, -1), F.concat(new, F.array(F.lit(""))), lambda gap, e: F.concat(gap, e)), "")
     columns = [c for c in shape.columns if c != text]
-    changed = joined.select(*columns, rebuilt.alias(text), F.size("__found").cast("long").alias("n_entities"))
-    same = marked.filter(F.size("__found") == 0).select(*columns, text, F.lit(0).cast("long").alias("n_entities"))
-    return same.unionByName(changed).select(*shape.columns, "n_entities")
+    replaced = joined.select(*columns, F.when(F.col("__of").isNull(), body).otherwise(rebuilt).alias(text), F.when(F.col("__of").isNull(), 0).otherwise(F.size(found)).cast("long").alias("n_entities"))
+    same = shape.filter(~may_hold(body)).select(*columns, text, F.lit(0).cast("long").alias("n_entities"))
+    return same.unionByName(replaced).select(*shape.columns, "n_entities")
