@@ -7,7 +7,7 @@ what white space ends, with one blank before it: byte-level BPE never merges acr
 Latin script or with runs of white space go to the tokenizers library whole.
 
 The choice of lexicon never changes a result. It is built from counts over all texts: a task reports the words that it
-saw at least twice, and the ``lexicon_words`` most frequent of all (a documented bound) are compiled on the driver.
+saw at least twice, and the most frequent of all, at most ``lexicon_words`` (a documented bound), are compiled on the driver.
 
 Defined cases: a null text counts as empty and has no ids; repeated rows are encoded once each; other columns are
 kept by ``encode`` (its own columns replace those of the same name); empty tables give empty results.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, slices
+from .common import Scratch, bounded_batches, slices
 
 LEXICON_WORDS = 1 << 17
 #: The border between words is marked by a character that the texts of the fast path don't hold.
@@ -343,7 +343,7 @@ def worker_encoder(path: str, key: str, lexicon) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, n: int, text: str = "text") -> list[str]:
-    """The n most frequent words, from counts over all texts of the fast path."""
+    """The most frequent words, at most n and as many as have the same count or none, from counts over all texts of the fast path."""
 
     def count(batches):
         from collections import Counter
@@ -359,7 +359,22 @@ def frequent_words(docs: DataFrame, n: int, text: str = "text") -> list[str]:
             yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in part], pa.string()), "n": pa.array([c for _, c in part], pa.int64())})
 
     counts = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.filter(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(n).collect()]
+    with Scratch(docs.sparkSession) as scratch:
+        counts = scratch.write(counts.filter(F.length("word") <= 64))
+        # how many words occur how often: a row for each power of two, then one for each count in the power that is cut
+        power = F.floor(F.log2("n")).cast("int")
+        taken, least = 0, 1
+        for p, words in sorted(map(tuple, counts.groupBy(power.alias("p")).agg(F.count("*")).collect()), reverse=True):
+            if taken + words > n:
+                least = 2 << p
+                if p < 24:  # counts from 2^p to 2^(p + 1), of which the largest fit
+                    for c, w in sorted(map(tuple, counts.filter(power == p).groupBy("n").agg(F.count("*")).collect()), reverse=True):
+                        if taken + w > n:
+                            break
+                        taken, least = taken + w, c
+                break
+            taken += words
+        return [r.word for r in counts.filter(F.col("n") >= least).select("word").collect()]
 
 
 def build_lexicon(words: list[str], path: str) -> bytes:

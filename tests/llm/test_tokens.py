@@ -108,3 +108,20 @@ def test_merging_overlaps():
     ids, n = m.encode([w.encode() for w in words])
     cuts = np.cumsum(n)[:-1]
     assert [x.tolist() for x in np.split(ids, cuts)] == [t.encode(w).ids for w in words]
+
+
+def test_frequent_words(spark):
+    """The most frequent words up to the bound; of words with one count all or none."""
+    texts = [" ".join(f"w{i}" for i in range(40) for _ in range(i + 2))] + ["same same other other"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    counts = {}
+    for t in texts:
+        for w in bpe.words_of(t):
+            counts[w] = counts.get(w, 0) + 1
+    for n in (0, 1, 5, 30, 1000):
+        got = bpe.frequent_words(df, n)
+        assert len(got) <= n
+        low = min((counts[w] for w in got), default=10**9)
+        assert set(got) == {w for w, c in counts.items() if c >= low and c > 1}
+        above = [c for w, c in counts.items() if w not in got and c > 1]
+        assert not above or len(got) + sum(c == max(above) for c in above) > n
