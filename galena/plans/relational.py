@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 from galena.functions import geometry as geo
 from galena.functions import text as tx
 from galena.functions import vectors as vec
-from galena.operators import catalog, datasets, evaluation, linalg, scoring, sessions
+from galena.operators import catalog, datasets, evaluation, linalg, retrieval, scoring, sessions
 from galena.sources import tables
 
-from .common import big, embeddings, r6, t
+from .common import HYBRID, big, embeddings, r6, spaces, t
 from .registry import query
 
 LINE = ["l_linenumber", "l_partkey", "l_suppkey"]
@@ -876,3 +876,56 @@ def t3(spark, sf):
 @query("T5_slow_state", "SELECT event_id, CASE WHEN value > 60 THEN 'slow' WHEN value > 8 THEN 'late' ELSE 'fine' END AS state FROM events")
 def t5(spark, sf):
     return t(spark, sf, "events").select("event_id", F.when(F.col("value") > 60, "slow").when(F.col("value") > 8, "late").otherwise("fine").alias("state"))
+
+
+# -- further forms of operators above -----------------------------------------------------------------------------
+
+
+@query("S2_text_source", "SELECT count(*) AS lines FROM (SELECT unnest(string_split(text, chr(10))) FROM documents)")
+def s2(spark, sf):
+    return t(spark, sf, "documents").select(F.explode(F.split("text", "\n"))).agg(F.count("*").alias("lines"))
+
+
+@query("S4_test_labels", "SELECT o_orderkey AS image, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS slug FROM orders")
+def s4(spark, sf):
+    raw = t(spark, sf, "orders").select(F.col("o_orderkey").alias("image"), F.when(F.col("o_orderstatus") == "P", "  ").otherwise(F.col("o_orderpriority")).alias("slug"))
+    return raw.select("image", F.nullif(F.trim("slug"), F.lit("")).alias("slug"))
+
+
+@query("S21_session_store", "SELECT conv_id, count(*) AS turns, CAST(count(DISTINCT turn) AS BIGINT) AS places FROM conversations GROUP BY conv_id")
+def s21(spark, sf):
+    return t(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.countDistinct("turn").alias("places"))
+
+
+@query("A13_largest_target", f"WITH {IMAGES} SELECT img, arg_max(l_partkey, (area, l_partkey)) AS target FROM im GROUP BY img")
+def a13(spark, sf):
+    return images(spark, sf).groupBy("img").agg(F.max_by("l_partkey", F.struct("area", "l_partkey")).alias("target"))
+
+
+@query("J1_similarity_join", "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) v FROM embeddings) SELECT a.vec_id AS q, b.vec_id AS g FROM e a JOIN e b ON a.label = 0 AND b.label > 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id) <= 10")
+def j1(spark, sf):
+    e = embeddings(spark, sf)
+    return retrieval.vector_topk(e.filter("label = 0").withColumnRenamed("g", "q"), e.filter("label > 0"), 10).select("q", "g")
+
+
+@query("J2_merged_lists", f"WITH {HYBRID} SELECT q, g, sc >= sd AS crop_first FROM sim JOIN pool USING (q, g)")
+def j2(spark, sf):
+    s = spaces(spark, sf)
+    queries, gallery = s.filter("g % 10 = 0").withColumnRenamed("g", "q"), s.filter("g % 10 <> 0")
+    one = lambda c: retrieval.vector_topk(queries.select("q", F.col(c).alias("vec")), gallery.select("g", F.col(c).alias("vec")), 10).select("q", "g", F.col("score").alias(c))
+    both = one("crop").join(one("box"), ["q", "g"], "full")
+    sides = both.select("q", "g").join(queries.select("q", F.col("crop").alias("qc"), F.col("box").alias("qb")), "q").join(gallery.select("g", "crop", "box"), "g")
+    return sides.select("q", "g", (vec.dot(F.col("qc"), F.col("crop")) >= vec.dot(F.col("qb"), F.col("box"))).alias("crop_first"))
+
+
+@query("T4_incremental", "SELECT doc_id, quality FROM labels WHERE doc_id % 2 = 1")
+def t4(spark, sf):
+    """What a second run has left to do after a first that did the even ids."""
+    lab = t(spark, sf, "labels")
+    return lab.select("doc_id", "quality").join(lab.filter("doc_id % 2 = 0").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("T6_session_retention", "WITH s AS (SELECT user_id, max(ts) last FROM events GROUP BY 1) SELECT user_id FROM s WHERE last >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def t6(spark, sf):
+    last = t(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("last"))
+    return sessions.retained(last.withColumn("all", F.lit(1)), "user_id", "last", "user_id", 7, 1).select("user_id")

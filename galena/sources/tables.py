@@ -105,3 +105,26 @@ def per_row(df: DataFrame, f, out: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=[*names, "status", "error"])
 
     return df.mapInPandas(run, out + ", status string, error string")
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """The rows as JSON lines and as CSV."""
+    df.write.mode("overwrite").json(f"{path}/json")
+    df.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+
+
+class SessionStore:
+    """Sessions as an append-only table of turns: a turn is there whole or not at all, and a session is read by its id."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def append(self, turns: DataFrame) -> None:
+        """turns: conv_id, turn, role, text."""
+        turns.write.mode("append").parquet(self.path)
+
+    def load(self, conv_id: int) -> DataFrame:
+        found = self.spark.read.parquet(self.path).filter(F.col("conv_id") == conv_id)
+        if found.isEmpty():
+            raise KeyError(conv_id)
+        return found.orderBy("turn")

@@ -245,3 +245,41 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     got = {r.s: (r.turns, r.conflicts, r.unknown) for r in spark.table("turns").collect()}
     assert got == {1: (1, 1, 0), 2: (1, 0, 1), 3: (-1, 0, 1)}
+
+
+def test_plugins(spark, tmp_path):
+    from galena.plans import plugins
+
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(40, 8))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    gallery = spark.createDataFrame([(i, f"g{i % 9}", x.tolist()) for i, x in enumerate(v)], "g long, grp string, vec array<double>")
+    queries = gallery.filter("g < 6").select(F.col("g").alias("q"), "vec")
+    for mode in (plugins.TopN(3, 0.99), plugins.Groups(5, 2, 0.2, None)):
+        s = plugins.GallerySearcher(gallery, mode)
+        assert isinstance(s, plugins.Searcher) and s.slugs().count() == 40
+        first = {r.q: r.g for r in s.search(queries).filter("place = 1").collect()}
+        assert first == {i: i for i in range(6)}
+    assert plugins.GallerySearcher(gallery, plugins.TopN(3, 1.5)).search(queries).count() == 0
+    store = plugins.FolderStore(f"file://{tmp_path}")
+    store.write(gallery, "gallery")
+    assert isinstance(store, plugins.Store) and store.read(spark, "gallery").count() == 40
+    out = plugins.encoded(spark.createDataFrame([("a",), ("bb",)], "s string"), "s", lambda: lambda xs: np.array([[len(x), 1] for x in xs]))
+    assert sorted(one(out, "vec")) == [[1.0, 1.0], [2.0, 1.0]]
+    with pytest.raises(ValueError, match="taken"):
+        plugins.source("parquet")(lambda s, p: None)
+    assert plugins.SOURCES["parquet"](spark, f"file://{tmp_path}/gallery").count() == 40
+    turns = spark.createDataFrame([(1, 1, "user", "hi"), (2, 1, "assistant", "no")], "conv_id long, turn long, role string, text string")
+    assert [tuple(r) for r in plugins.answered(sessions.histories(turns), lambda ms: f"{len(ms)} turns").collect()] == [(1, "1 turns")]
+
+
+def test_session_store_and_reports(spark, tmp_path):
+    store = tables.SessionStore(spark, f"file://{tmp_path}/s")
+    make = lambda *rows: spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    store.append(make((1, 1, "user", "a")))
+    store.append(make((1, 2, "assistant", "b"), (2, 1, "user", "c")))
+    assert one(store.load(1), "text") == ["a", "b"]
+    with pytest.raises(KeyError):
+        store.load(9)
+    tables.write_report(store.load(1), f"file://{tmp_path}/r")
+    assert spark.read.json(f"file://{tmp_path}/r/json").count() == spark.read.option("header", True).csv(f"file://{tmp_path}/r/csv").count() == 2
