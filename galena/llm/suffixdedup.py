@@ -313,10 +313,12 @@ def sorted_groups(work: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc long, version long, from int, to int")
 
 
-def counted(work: DataFrame) -> DataFrame:
-    """Rows of parts with two rows or more, one of which stands alone, and n, how many there are."""
+def counted(work: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of parts with two rows or more, one of which stands alone, and n, how many there are. The counts are written, so that both sides of the
+    join are plain exchanges, of which Spark can split the partition of a part with many rows."""
+    work = scratch.write(work)
     n = work.groupBy("part").agg(F.count("*").alias("n"), F.bool_or("alone").alias("some")).filter("n > 1 and some").select(F.col("part").alias("p"), "n")
-    return work.join(n, F.col("part") == F.col("p")).drop("p")
+    return work.join(scratch.write(n), F.col("part") == F.col("p")).drop("p")
 
 
 def repeated(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
@@ -326,25 +328,26 @@ def repeated(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFra
     # most grams occur once; what goes on are the segments of the others
     print_ = F.xxhash64("content")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min(print_).alias("x"), F.max(print_).alias("y")).filter("n > 1")
-    grams = grams.select(F.col("gram").alias("g"), (F.col("x") != F.col("y")).alias("border"))
+    grams = scratch.write(grams.select(F.col("gram").alias("g"), (F.col("x") != F.col("y")).alias("border")))
     met = scratch.write(found.join(grams, F.col("gram") == F.col("g")).drop("g"))
     scratch.remove(found)
     # copies of a content are counted within tasks first; one of its segments stands for it
     classes = met.groupBy("content").agg(F.count("*").alias("n"), *(F.first(c).alias(f"of_{c}") for c in ("doc", "version", "lo"))).withColumnRenamed("content", "c")
+    classes = scratch.write(classes)  # as in counted, for the join's sake
     before, met = met, scratch.write(met.join(classes, F.col("content") == F.col("c")).filter("border or n > 1").drop("c", "content"))
     scratch.remove(before)
     whole = met.filter("n > 1").select("doc", "version", F.col("lo").alias("from"), (F.col("hi") + length).alias("to"))
     # at borders: each content once, by the segment that stands for it
     stands = F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("version") == F.col("of_version")) & (F.col("lo") == F.col("of_lo"))
     border = met.filter(F.col("border") & stands).select("doc", "version", "gram", "lo", "hi", "anchor", (F.col("n") == 1).alias("alone"))
-    work = scratch.write(counted(with_bytes(docs, border, length)))
+    work = scratch.write(counted(with_bytes(docs, border, length), scratch))
     ranges = whole
     for size in FINER:
         ranges = ranges.unionByName(scratch.write(sorted_groups(work.filter(F.col("n") <= GROUP).drop("n"), length)))
         large = work.filter(F.col("n") > GROUP).drop("n")
         if large.isEmpty():
             return ranges
-        work = scratch.write(counted(dealt_out(large, size, length)))
+        work = scratch.write(counted(dealt_out(large, size, length), scratch))
     # strings of one start are equal if their digests are
     last = work.filter("alone").select("doc", "version", (F.col("anchor") - F.col("d0")).alias("from"), (F.col("anchor") - F.col("d0") + length).alias("to"))
     return ranges.unionByName(last)
