@@ -216,12 +216,15 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if large:
             both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m"))
+        # written, so that both sides of the join are plain exchanges and Spark can split a hub's partition
+        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m")))
         tied = both.filter(F.col("v") > F.col("u")) if large else both
         out = tied.join(least, F.col("u") == F.col("of")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         if not large:
             out = out.unionByName(least.select(F.col("of").alias("a"), F.col("m").alias("b")))
-        return out.filter(F.col("a") != F.col("b")).distinct()
+        out = scratch.write(out.filter(F.col("a") != F.col("b")).distinct())
+        scratch.remove(least)
+        return out
 
     def state(edges: DataFrame):
         return edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
@@ -229,25 +232,28 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     edges = scratch.write(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct())
     now = state(edges)
     while True:
-        large = scratch.write(star(edges, True))
-        small = scratch.write(star(large, False))
+        large = star(edges, True)
+        small = star(large, False)
         scratch.remove(edges, large)
         before, now, edges = now, state(small), small
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def blocks(members: DataFrame, roots: DataFrame) -> DataFrame:
+def blocks(scratch: Scratch, members: DataFrame, roots: DataFrame) -> DataFrame:
     """bucket, i, j, node, root, outside: the work left in buckets (bucket, node) that hold more than one component. Each
     pair of a member outside the bucket's largest component and any other member meets in one block (i, j); a block holds about
     2 BLOCK rows, so a large bucket is many tasks."""
     placed = members.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    placed = scratch.write(placed)
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("n_main"))
-    same = placed.join(mixed.filter("parts > 1").withColumnRenamed("bucket", "in"), F.col("bucket") == F.col("in")).drop("in")
+    mixed = scratch.write(mixed.filter("parts > 1").withColumnRenamed("bucket", "in"))
+    same = scratch.write(placed.join(mixed, F.col("bucket") == F.col("in")).drop("in"))
     # the same members often meet in many bands: of buckets with equal members one is taken
     marks = same.groupBy("bucket").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("root", "node").cast("decimal(38,0)")).alias("y"), F.count("*").alias("z"))
-    same = same.join(marks.groupBy("x", "y", "z").agg(F.min("bucket").alias("in")).select("in"), F.col("bucket") == F.col("in")).drop("in")
+    chosen = scratch.write(marks.groupBy("x", "y", "z").agg(F.min("bucket").alias("in")).select("in"))
+    same = same.join(chosen, F.col("bucket") == F.col("in")).drop("in")
     n_out, n_all = F.ceil((F.col("n") - F.col("n_main")) / BLOCK), F.ceil(F.col("n") / BLOCK)
     spot = lambda n: F.pmod(F.xxhash64("node", "bucket"), n)
     zero = F.lit(0).cast("long")
@@ -346,12 +352,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     on = lambda x, y: F.col(x) == F.col(y)
     with Scratch(spark) as scratch:
         found = scratch.write(features(own, k, n_bands))
-        # classes in a band: buckets of one class are no candidates
-        banded = found.filter("node is not null").select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket"))
+        # a row for each class, put together within tasks first; classes in a band: buckets of one class are no candidates
+        classes = scratch.write(found.filter("node is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.min("key").alias("doc")))
+        banded = classes.select("node", F.explode("bands").alias("bucket"))
         buckets = banded.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1").select(F.col("bucket").alias("in"), "lead")
-        members = scratch.write(banded.join(buckets, on("bucket", "in")).select("bucket", "node", "lead"))
+        members = scratch.write(banded.join(scratch.write(buckets), on("bucket", "in")).select("bucket", "node", "lead"))
         met = members.select(F.col("node").alias("of")).distinct()
-        sigs = scratch.write(found.join(met, on("node", "of"), "left_semi").groupBy("node").agg(F.first("sig").alias("sig"), F.min("key").alias("doc")))
+        sigs = scratch.write(classes.select("node", "sig", "doc").join(met, on("node", "of"), "left_semi"))
+        scratch.remove(classes)
         # stars: each member with the first of its bucket
         pairs = members.filter(F.col("node") != F.col("lead")).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
         marked = sigs.select("node", "sig")
@@ -362,14 +370,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         roots = components(scratch, links)
         # what stars can't tell: pairs of different components within a bucket
         marked = sigs.select(F.col("node").alias("of"), "sig")
-        rest = scratch.write(hopeful(blocks(members, roots).join(marked, on("node", "of")).drop("of"), least))
+        rest = scratch.write(hopeful(blocks(scratch, members, roots).join(marked, on("node", "of")).drop("of"), least))
         if not rest.isEmpty():
             asked = rest.select(F.col("node").alias("of")).distinct()
             texts = scratch.write(texts_of(own, sigs.join(asked, on("node", "of"), "left_semi"), k))
-            work = blocks(rest, roots).join(marked, on("node", "of")).drop("of").join(texts.withColumnRenamed("node", "of"), on("node", "of")).drop("of")
+            work = blocks(scratch, rest, roots).join(marked, on("node", "of")).drop("of").join(texts.withColumnRenamed("node", "of"), on("node", "of")).drop("of")
             roots = components(scratch, links.unionByName(rest_links(work, k, percent, least)))
         located = found.select("key", "n_shingles", "node").join(roots.withColumnRenamed("node", "of"), on("node", "of"), "left").select("key", "n_shingles", F.coalesce("root", "node").alias("root"))
-        first = located.filter("root is not null").groupBy("root").agg(F.min("key").alias("first")).withColumnRenamed("root", "of")
+        located = scratch.write(located)
+        first = scratch.write(located.filter("root is not null").groupBy("root").agg(F.min("key").alias("first")).withColumnRenamed("root", "of"))
         out = located.join(first, on("root", "of"), "left").select("key", "n_shingles", F.coalesce("first", "key").alias("component_id"))
         return checkpoint(out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept")))
 
