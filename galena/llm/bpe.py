@@ -362,7 +362,7 @@ def frequent_words(docs: DataFrame, n: int, text: str = "text") -> list[str]:
     with Scratch(docs.sparkSession) as scratch:
         counts = scratch.write(counts.filter(F.length("word") <= 64))
         # how many words occur how often: a row for each power of two, then one for each count in the power that is cut
-        power = F.floor(F.log2("n")).cast("int")
+        power = F.length(F.bin("n")) - 1
         taken, least = 0, 1
         for p, words in sorted(map(tuple, counts.groupBy(power.alias("p")).agg(F.count("*")).collect()), reverse=True):
             if taken + words > n:
