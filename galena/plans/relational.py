@@ -208,11 +208,21 @@ def p9(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.md5(tx.folded(F.substring("text", 1, 40))).alias("folded"))
 
 
+@query("P9_folded_whole", "SELECT doc_id, md5(replace(lower(trim(text)), 'ё', 'е')) AS folded FROM documents")
+def p9_whole(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.md5(tx.folded(F.col("text"))).alias("folded"))
+
+
 @query("P10_safe_names", "SELECT doc_id, substr(regexp_replace(text, '[^\\p{L}\\p{N}_.-]+', '_', 'g'), 1, 80) AS name FROM documents WHERE lang = 'en'")
 def p10(spark, sf):
     return t(spark, sf, "documents").filter("lang = 'en'").select("doc_id", tx.safe_name(F.col("text")).alias("name"))
 
 
+@query("P10_safe_names_all", "SELECT doc_id, substr(regexp_replace(text, '[^\\p{L}\\p{N}_.-]+', '_', 'g'), 1, 80) AS name FROM documents")
+def p10_all(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", tx.safe_name(F.col("text")).alias("name"))
+
+
 MODEL = {"mean": [25.0, 0.5], "std": [14.0, 0.3], "coef": [0.8, -1.1], "intercept": 0.2}
 Z = "(0.2 + (l_quantity - 25.0) / 14.0 * 0.8 + (conf - 0.5) / 0.3 * -1.1)"
 
