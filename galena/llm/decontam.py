@@ -6,7 +6,8 @@ bounded by ``max_broadcast_bytes`` against a measured size; a larger benchmark i
 
 Defined cases: a null or empty text has no words and no hit; items without words give no window; an item of fewer words
 than ``n`` is one window of all its words; repeated documents are reported once per row; a repeated item_id
-counts once; other columns of the inputs are ignored here and kept by ``decontaminate``; empty tables give no hits.
+counts once; ``decontaminate`` tells rows by doc_id and text, so a clean text stays whatever shares its doc_id; other columns of
+the inputs are ignored here and kept by ``decontaminate``; empty tables give no hits.
 """
 
 from __future__ import annotations
@@ -40,12 +41,16 @@ def benchmark_windows(benchmark: DataFrame, n: int, item: str, text: str) -> Dat
     return grams.groupBy("gram", "len").agg(F.collect_set("item").alias("items")).withColumn("gram_hash", F.xxhash64("gram"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Per document: key, n_words, n_hit, n_items, items (ids as strings, sorted) and contaminated."""
+def version_of(text: Column) -> Column:
+    """With its key, the identity of a row."""
+    return F.xxhash64(text)
+
+
+def hit_rows(docs: DataFrame, benchmark: DataFrame, n: int, item: str, item_text: str, max_broadcast_bytes: int) -> DataFrame:
+    """hit_key, hit_version, n_hit and items of the documents (key, text, version) that hold a window."""
     grams = benchmark_windows(benchmark, n, item, item_text)
     # one row of facts: which lengths below n occur, and how large the set is
     lengths, size = grams.agg(F.collect_set("len"), F.coalesce(F.sum(F.length("gram") + 16 * F.size("items") + 64), F.lit(0))).first()
-    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("version", F.xxhash64("text"))
     marked = lambda w, k: F.transform(windows(w, k), lambda x, i: F.struct(i.alias("at"), F.lit(k).alias("len"), x.alias("window")))
     empty = F.array().cast("array<struct<at:int,len:int,window:string>>")
     scanned = docs.select("key", "version", F.inline(let(words(F.col("text")), lambda w: F.concat(empty, *[marked(w, k) for k in sorted(lengths)]))))
@@ -56,14 +61,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str =
     before = Window.partitionBy("key", "version").orderBy("at", "to").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.col("to") - F.greatest(F.col("at"), F.coalesce(F.max("to").over(before), F.lit(0)))
     found = hits.withColumn("fresh", F.greatest(fresh, F.lit(0))).groupBy("key", "version").agg(F.sum("fresh").alias("n_hit"), F.flatten(F.collect_set("items")).alias("items"))
-    found = found.select(F.col("key").alias("hit_key"), F.col("version").alias("hit_version"), "n_hit", F.array_sort(F.transform(F.array_distinct("items"), lambda i: i.cast("string"))).alias("items"))
+    return found.select(F.col("key").alias("hit_key"), F.col("version").alias("hit_version"), "n_hit", F.array_sort(F.transform(F.array_distinct("items"), lambda i: i.cast("string"))).alias("items"))
+
+
+def versioned(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("version", version_of(F.col("text")))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Per document: key, n_words, n_hit, n_items, items (ids as strings, sorted) and contaminated."""
+    docs = versioned(docs, key, text)
+    found = hit_rows(docs, benchmark, n, item, item_text, max_broadcast_bytes)
     counted = docs.select("key", "version", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = counted.join(found, F.col("key").eqNullSafe(F.col("hit_key")) & F.col("version").eqNullSafe(F.col("hit_version")), "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(F.col("key").alias(key), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The documents, with all their columns, that hold no window of the benchmark."""
-    hit = contamination(docs, benchmark, n, key, text, **options).filter("contaminated").select(F.col(key).alias("__hit")).distinct()
-    return docs.join(hit, F.col(key).eqNullSafe(F.col("__hit")), "left_anti")
+    hits = hit_rows(versioned(docs, key, text), benchmark, n, item, item_text, max_broadcast_bytes).filter("n_hit > 0")
+    hits = hits.select(F.col("hit_key").alias("__hit"), F.col("hit_version").alias("__hit_version"))
+    return docs.join(hits, F.col(key).eqNullSafe(F.col("__hit")) & (version_of(F.col(text)) == F.col("__hit_version")), "left_anti")

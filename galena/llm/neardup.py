@@ -16,7 +16,8 @@ A pair at the similarity limit s is in no common bucket with a probability of (1
 Defined cases: null and empty texts and texts without words have an empty set and are linked with nothing, not even with
 each other; with fewer words than a shingle needs, the whole sequence is the only shingle; repeated rows are copies of each
 other; a row's component is that of its text, also when its doc_id occurs with other texts; a null doc_id stays null and is
-no candidate for component_id unless its component has no other; other columns are kept by ``deduplicate``.
+no candidate for component_id unless its component has no other; ``deduplicate`` tells rows by doc_id and text, keeps one row of
+each component, every row with an empty set, and other columns.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches, checkpoint, slices
@@ -149,8 +150,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def features(docs: DataFrame, k: int, n_bands: int) -> DataFrame:
-    """key, n_shingles, node (identity of the shingle set), bands (a key for each) and sig (16 bits of each minimum);
-    node, bands and sig are null where the set is empty."""
+    """key, n_shingles, node (identity of the shingle set), bands (a key for each), sig (16 bits of each minimum) and
+    digest; node, bands and sig are null where the set is empty."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -173,9 +174,10 @@ def features(docs: DataFrame, k: int, n_bands: int) -> DataFrame:
                     "key": keys.slice(a, b - a), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                     "node": pa.array([set_id(s) if len(s) else None for s in sets], pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())),
                     "sig": pa.array([None if s is None else (s & 0xFFFF).astype("<u2").tobytes() for s in sigs], pa.binary()),
+                    "digest": batch.column(2).slice(a, b - a),
                 })
 
-    return docs.mapInArrow(run, "key long, n_shingles long, node binary, bands array<long>, sig binary")
+    return docs.select("key", "text", "digest").mapInArrow(run, "key long, n_shingles long, node binary, bands array<long>, sig binary, digest binary")
 
 
 def likely(pairs: DataFrame, least: int) -> DataFrame:
@@ -325,7 +327,8 @@ def rest_links(rows: DataFrame, k: int, percent: int, least: int) -> DataFrame:
 
 
 def texts_of(own: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, text for the wanted (node, doc): the text of a document whose set is the node's."""
+    """node, text for the wanted (node, doc): the text of a document whose set is the node's. Documents are found by key and
+    digest, as many unrelated ones may share a key or have none."""
 
     def run(batches):
         for batch in batches:
@@ -334,7 +337,8 @@ def texts_of(own: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 sets = shingle_sets([t or "" for t in texts[a:b]], k)
                 yield batch.slice(a, b - a).filter(pa.array([set_id(s) == n for s, n in zip(sets, nodes[a:b], strict=True)], pa.bool_()))
 
-    found = own.join(wanted.select("node", "doc"), F.col("key").eqNullSafe(F.col("doc"))).select("node", "text")
+    wanted = wanted.select("node", F.col("doc.key").alias("doc_key"), F.col("doc.digest").alias("doc_digest"))
+    found = own.join(wanted, F.col("key").eqNullSafe(F.col("doc_key")) & (F.col("digest") == F.col("doc_digest"))).select("node", "text")
     return found.mapInArrow(run, "node binary, text string").groupBy("node").agg(F.first("text").alias("text"))
 
 
@@ -343,51 +347,70 @@ def of(df: DataFrame, end: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{c}_{end}") for c in df.columns))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: key, n_shingles, component_id, kept."""
-    spark, n_bands = docs.sparkSession, bands_for(percent)
+def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text and digest; a row's identity is its key with its digest."""
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.unhex(F.md5(text)).alias("digest"))
+
+
+def least_row() -> Column:
+    """Aggregate: the identity with the smallest key, a null one only if there is no other."""
+    return F.min(F.struct(F.col("key").isNull().alias("none"), "key", "digest"))
+
+
+def located(scratch: Scratch, own: DataFrame, k: int, percent: int) -> DataFrame:
+    """Per document: key, n_shingles, digest, root (null where the set is empty)."""
+    n_bands = bands_for(percent)
     n, s = n_bands * ROWS, percent / 100
     least = int(np.floor(n * (s - SLACK * np.sqrt(s * (1 - s) / n))))
-    own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     on = lambda x, y: F.col(x) == F.col(y)
-    with Scratch(spark) as scratch:
-        found = scratch.write(features(own, k, n_bands))
-        # a row for each class, put together within tasks first; classes in a band: buckets of one class are no candidates
-        classes = scratch.write(found.filter("node is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.min("key").alias("doc")))
-        banded = classes.select("node", F.explode("bands").alias("bucket"))
-        buckets = banded.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1").select(F.col("bucket").alias("in"), "lead")
-        members = scratch.write(banded.join(scratch.write(buckets), on("bucket", "in")).select("bucket", "node", "lead"))
-        met = members.select(F.col("node").alias("of")).distinct()
-        sigs = scratch.write(classes.select("node", "sig", "doc").join(met, on("node", "of"), "left_semi"))
-        scratch.remove(classes)
-        # stars: each member with the first of its bucket
-        pairs = members.filter(F.col("node") != F.col("lead")).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-        marked = sigs.select("node", "sig")
-        pairs = scratch.write(likely(pairs.join(of(marked, "a"), on("a", "node_a")).join(of(marked, "b"), on("b", "node_b")), least))
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
+    found = scratch.write(features(own, k, n_bands))
+    # a row for each class, put together within tasks first; classes in a band: buckets of one class are no candidates
+    classes = scratch.write(found.filter("node is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"), least_row().alias("doc")))
+    banded = classes.select("node", F.explode("bands").alias("bucket"))
+    buckets = banded.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1").select(F.col("bucket").alias("in"), "lead")
+    members = scratch.write(banded.join(scratch.write(buckets), on("bucket", "in")).select("bucket", "node", "lead"))
+    met = members.select(F.col("node").alias("of")).distinct()
+    sigs = scratch.write(classes.select("node", "sig", "doc").join(met, on("node", "of"), "left_semi"))
+    scratch.remove(classes)
+    # stars: each member with the first of its bucket
+    pairs = members.filter(F.col("node") != F.col("lead")).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    marked = sigs.select("node", "sig")
+    pairs = scratch.write(likely(pairs.join(of(marked, "a"), on("a", "node_a")).join(of(marked, "b"), on("b", "node_b")), least))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
+    texts = scratch.write(texts_of(own, sigs.join(asked, on("node", "of"), "left_semi"), k))
+    links = scratch.write(confirmed(pairs.join(of(texts, "a"), on("a", "node_a")).join(of(texts, "b"), on("b", "node_b")), k, percent))
+    roots = components(scratch, links)
+    # what stars can't tell: pairs of different components within a bucket
+    marked = sigs.select(F.col("node").alias("of"), "sig")
+    rest = scratch.write(hopeful(blocks(scratch, members, roots).join(marked, on("node", "of")).drop("of"), least))
+    if not rest.isEmpty():
+        asked = rest.select(F.col("node").alias("of")).distinct()
         texts = scratch.write(texts_of(own, sigs.join(asked, on("node", "of"), "left_semi"), k))
-        links = scratch.write(confirmed(pairs.join(of(texts, "a"), on("a", "node_a")).join(of(texts, "b"), on("b", "node_b")), k, percent))
-        roots = components(scratch, links)
-        # what stars can't tell: pairs of different components within a bucket
-        marked = sigs.select(F.col("node").alias("of"), "sig")
-        rest = scratch.write(hopeful(blocks(scratch, members, roots).join(marked, on("node", "of")).drop("of"), least))
-        if not rest.isEmpty():
-            asked = rest.select(F.col("node").alias("of")).distinct()
-            texts = scratch.write(texts_of(own, sigs.join(asked, on("node", "of"), "left_semi"), k))
-            work = blocks(scratch, rest, roots).join(marked, on("node", "of")).drop("of").join(texts.withColumnRenamed("node", "of"), on("node", "of")).drop("of")
-            roots = components(scratch, links.unionByName(rest_links(work, k, percent, least)))
-        located = found.select("key", "n_shingles", "node").join(roots.withColumnRenamed("node", "of"), on("node", "of"), "left").select("key", "n_shingles", F.coalesce("root", "node").alias("root"))
-        located = scratch.write(located)
-        first = scratch.write(located.filter("root is not null").groupBy("root").agg(F.min("key").alias("first")).withColumnRenamed("root", "of"))
-        out = located.join(first, on("root", "of"), "left").select("key", "n_shingles", F.coalesce("first", "key").alias("component_id"))
+        work = blocks(scratch, rest, roots).join(marked, on("node", "of")).drop("of").join(texts.withColumnRenamed("node", "of"), on("node", "of")).drop("of")
+        roots = components(scratch, links.unionByName(rest_links(work, k, percent, least)))
+    out = found.select("key", "n_shingles", "digest", "node").join(roots.withColumnRenamed("node", "of"), on("node", "of"), "left").select("key", "n_shingles", "digest", F.coalesce("root", "node").alias("root"))
+    return scratch.write(out)
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: key, n_shingles, component_id, kept."""
+    with Scratch(docs.sparkSession) as scratch:
+        found = located(scratch, identified(docs, key, text), k, percent)
+        first = scratch.write(found.filter("root is not null").groupBy("root").agg(F.min("key").alias("first")).withColumnRenamed("root", "of"))
+        out = found.join(first, F.col("root") == F.col("of"), "left").select("key", "n_shingles", F.coalesce("first", "key").alias("component_id"))
         return checkpoint(out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, with all their columns, of which each component keeps that with the smallest key. Rows that
-    repeat a key are one document: the first of them by text stays."""
-    at = lambda c: F.struct(F.coalesce(c, F.lit(0)).alias("key"), c.isNull().alias("none"))
-    kept = near_duplicates(docs, k, percent, key, text).groupBy(F.col(key).alias("key")).agg(F.bool_or("kept").alias("kept")).filter("kept")
-    kept = kept.select(at(F.col("key")).alias("__kept"))
-    out = docs.withColumn("__at", at(F.col(key).cast("long"))).join(kept, F.col("__at") == F.col("__kept"), "left_semi")  # one shuffle, for the window too
-    return out.withColumn("__nth", F.row_number().over(Window.partitionBy("__at").orderBy(F.xxhash64(text)))).filter("__nth = 1").drop("__nth", "__at")
+    """The documents, with all their columns, of which each component keeps one row: that with the smallest key (null
+    only if there is no other), and of those with that key the one with the first text digest. Rows without words are linked with nothing and stay."""
+    with Scratch(docs.sparkSession) as scratch:
+        found = located(scratch, identified(docs, key, text), k, percent).filter("root is not null")
+        least = found.groupBy("root").agg(least_row().alias("at"))
+        # the key alone may be null or shared by many rows: the join is by row identity
+        kept = checkpoint(least.select(F.coalesce("at.key", F.lit(0)).alias("__kept"), F.col("at.none").alias("__kept_none"), F.col("at.digest").alias("__kept_digest")))
+    number, worded = F.col(key).cast("long"), F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    marked = docs.filter(worded).withColumns({"__at": F.coalesce(number, F.lit(0)), "__none": number.isNull(), "__digest": F.unhex(F.md5(text))})
+    same = (F.col("__at") == F.col("__kept")) & (F.col("__none") == F.col("__kept_none")) & (F.col("__digest") == F.col("__kept_digest"))
+    single = marked.join(kept, same, "left_semi").dropDuplicates(["__at", "__none", "__digest"])
+    return single.select(*docs.columns).unionByName(docs.filter(~worded))
