@@ -2,8 +2,8 @@
 
 A stage is (spark, docs, sf_dir) -> DataFrame. All but the last return the columns of documents.
 
-* language_id drops documents without a language: null texts and texts without a letter. Prototypes are learned from
-  the documents that the stage gets (those that aren't held out), and the prediction replaces a null lang.
+* language_id drops null texts and texts without a letter. Prototypes are learned from the documents that the stage gets (those
+  that aren't held out), and the prediction replaces a null lang; a lang that is given stays. Without prototypes a null lang stays null.
 * near_dedup keeps one document of each component at five words and a similarity of 0.8.
 * decontamination drops documents that hold ten consecutive words of a benchmark item.
 * pii replaces personal data by surrogates.
@@ -21,8 +21,8 @@ from galena.llm.common import Scratch
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prototypes = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
-    found = langid.predict(docs, prototypes).filter(F.col("lang_pred") != langid.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = langid.predict(docs, prototypes, lettered_only=True)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred") if prototypes else F.col("lang")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,8 +124,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
     return {k: v / n for k, v in sorted(out.items()) if (n := np.linalg.norm(v)) > 0}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
-    """The documents with lang_pred and score, the cosine cut to 0..1."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", dimensions: int = DIMENSIONS, lettered_only: bool = False) -> DataFrame:
+    """The documents with lang_pred and score, the cosine cut to 0..1; perhaps only those whose text has a letter."""
     bounded_batches(docs.sparkSession)
     names = list(prototypes)
     matrix = np.array([prototypes[n] for n in names], np.float32).reshape(len(names), dimensions)
@@ -142,7 +142,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
                 best, some = cosine.argmax(axis=1), (norm > 0) & bool(names)
                 langs = [names[i] if s else UNKNOWN for i, s in zip(best, some, strict=True)]
                 score = np.where(some, np.clip(cosine.max(axis=1), 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(columns))), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*columns, "lang_pred", "score"])
+                out = pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(columns))), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*columns, "lang_pred", "score"])
+                yield out.filter(pa.array([any(map(str.isalpha, t)) for t in texts[a:b]], pa.bool_())) if lettered_only else out
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(run, schema)
