@@ -9,7 +9,7 @@ Decoding: each element is kept whole, dropped whole, or open, which leaves the c
 give the probabilities. The likeliest consistent choice for the page is found bottom-up and read off top-down.
 
 Text: character references are decoded, white space within a block becomes one blank, blocks are joined by a line feed.
-A line break element is white space, inline elements are transparent.
+A line break element is white space, inline elements are transparent, as are object and the elements of math.
 
 Defined cases: null and empty pages and pages without text give an empty text; unclosed, unopened and unknown elements
 are taken as browsers do, roughly; repeated rows give repeated results; other columns are kept by ``extract`` (its own columns
@@ -37,9 +37,15 @@ SLICE_CHARS = 2 << 20
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*?)>|<[!?][^>]*+>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
-RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math", "select", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
+#: Elements whose text a browser doesn't show as text of the page: dropped to their end tag, or else to the end of their parent.
+UNSEEN = {"noscript", "template", "svg", "select", "canvas", "audio", "video"}
+UNSEEN_TAG = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in UNSEEN}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var button".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var button object".split())
+INLINE |= set("math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot munder mover munderover mmultiscripts mprescripts mtable mtr mtd mstyle mspace mpadded mphantom menclose merror maction semantics annotation annotation-xml".split())
+#: Start tags that end an open p.
+ENDS_P = set("address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
@@ -125,9 +131,25 @@ def parse(page: str) -> list[Node]:
             if stack[i].tag in barrier:
                 return
 
+    def within(tag, closing, empty) -> bool:
+        """Does a tag belong to the unseen element? If not, the element has ended with its parent."""
+        if closing:
+            if tag in unseen:
+                del unseen[len(unseen) - 1 - unseen[::-1].index(tag) :]
+                return True
+            return not (tag in INLINE or n_open.get(tag) or tag == "html")
+        above = stack[-1].tag
+        if not closed and (tag in ENDS_P and (above == "p" or unseen[0] == "svg") or above in CLOSES.get(tag, ()) and not BARRIER.get(tag, set()) & set(unseen)):
+            return False
+        if not empty and tag not in VOID:
+            unseen.append(tag)
+        return True
+
+    unseen: list[str] = []  # an unseen element and the elements open in it
+    closed = False  # whether its end tag comes before another of its kind
     lower_page = None
     while m := TAG.search(page, at):
-        if m.start() > at:
+        if m.start() > at and not unseen:
             piece = page[at : m.start()]
             run.append(piece)
             if anchors:
@@ -136,7 +158,7 @@ def parse(page: str) -> list[Node]:
         if tag is None:
             continue
         tag, closing, rest = tag.lower(), m[1], m[3]
-        if tag in RAW:
+        if tag in RAW and unseen[:1] != ["svg"]:
             if not closing and not rest.endswith("/"):
                 lower_page = page.lower() if lower_page is None else lower_page
                 end = lower_page.find(f"</{tag}", at)
@@ -145,6 +167,16 @@ def parse(page: str) -> list[Node]:
                     found = re.compile(f"</{tag}", re.I).search(page, m.end())
                     at = found.start() if found else len(page)
             continue
+        if unseen:
+            if within(tag, closing, rest.endswith("/")):
+                continue
+            unseen.clear()
+        if tag in UNSEEN:
+            if not closing and not rest.endswith("/"):
+                unseen.append(tag)
+                other = UNSEEN_TAG[tag].search(page, at)
+                closed = bool(other and other[1])
+            continue
         if tag in INLINE:
             if tag == "a":
                 anchors = 0 if closing else 1
@@ -174,7 +206,7 @@ def parse(page: str) -> list[Node]:
         nodes.append(node)
         stack.append(node)
         n_open[tag] = n_open.get(tag, 0) + 1
-    if at < len(page):
+    if at < len(page) and not unseen:
         run.append(page[at:])
     flush()
     return nodes
