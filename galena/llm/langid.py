@@ -67,8 +67,11 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     flat = np.concatenate([np.concatenate([p, [0]]) for p in points] or [np.empty(0, np.uint32)])
     of = np.repeat(np.arange(len(texts)), [len(p) + 1 for p in points])
-    # beyond the basic plane every code point is taken as a letter of a class of its own number
-    c = np.where(flat < 1 << 16, table[np.minimum(flat, (1 << 16) - 1)], 27 + flat % (CLASSES - 27)).astype(np.int64)
+    c = table[np.minimum(flat, (1 << 16) - 1)].astype(np.int64)
+    # beyond the basic plane a letter has the class of its own number
+    if (far := flat >= 1 << 16).any():
+        found, place = np.unique(flat[far], return_inverse=True)
+        c[far] = np.where([chr(x).isalpha() for x in found.tolist()], 27 + found % (CLASSES - 27), 0)[place]
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] > 0) | (c[:-1] > 0)
     c, of = c[keep], of[keep]
