@@ -3,25 +3,32 @@
 The frequent words of the corpus are compiled, with their ids as outputs, into an automaton that shares prefixes and
 suffixes; the path of a word adds up to its number, and the number finds its ids. The automaton is mapped into memory by each Python
 worker. Words it doesn't hold are merged exactly, many at a time, by the ranks of the tokenizer's merges. A word is
-what white space ends, with one blank before it: byte-level BPE never merges across that border. Texts outside plain
-Latin script or with runs of white space go to the tokenizers library whole.
-
-The choice of lexicon never changes a result. It is built from counts over all texts: a task reports the words that it
-saw at least twice, and the most frequent of all, at most ``lexicon_words`` (a documented bound), are compiled on the driver.
-
-Defined cases: a null text counts as empty and has no ids; repeated rows are encoded once each; other columns are
-kept by ``encode`` (its own columns replace those of the same name); empty tables give empty results.
+what white space ends, with one blank before it, or a run of white space up to the blank of the next word: byte-level BPE never merges
+across these borders. Every text takes this way, whatever its script. The tokenizers library names the added tokens, and
+its pre-tokenizer (not its model) cuts words that hold a character that this Python's Unicode tables don't know.
+
+The choice of lexicon never changes a result. It is built from counts over all texts: a task reports the words of at most 64 characters that
+it saw at least twice (since it last held COUNTED different ones), and the most frequent of all, at most ``lexicon_words`` (a
+documented bound), are compiled on the driver. All other words are merged.
+
+Defined cases: a null text counts as empty and has no ids; repeated rows are encoded once each; texts of any length are encoded whole,
+in slices of texts, never of a text, and words without a border in LONG bytes are merged by a heap instead of in rounds; words of equal
+frequency at the lexicon's limit all stay out; other columns are kept by ``encode`` (its own columns replace those of the same
+name); empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import mmap
 import os
 import re
+import sys
 import tempfile
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +40,16 @@ from pyspark.sql import types as T
 from .common import Scratch, bounded_batches, slices
 
 LEXICON_WORDS = 1 << 17
-#: The border between words is marked by a character that the texts of the fast path don't hold.
+#: Different words that a task counts at once.
+COUNTED = 1 << 19
+#: Bytes from which on a piece is merged alone.
+LONG = 512
+#: Fixed: the characters that are white space.
+BLANKS = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Where blanks and line feeds stand alone, words can be told by marking the borders with a character that the text doesn't hold.
 MARK = "\x00"
-#: What sends a text to the library: runs of white space, and all outside ASCII and the Latin blocks.
-ODD = re.compile(r"[ \n]{2}|[^\n -~¡-ɏ]")
+RUNS = re.compile(f"[ \\n]{{2}}|[{BLANKS.replace(chr(92) + 'n', '').replace(' ', '')}{MARK}]")
+WORDS = re.compile(f"[{BLANKS}]+(?![^{BLANKS}])| ?[^{BLANKS}]+|[{BLANKS}]+")
 #: Fixed: the pattern by which the vocabulary's byte-level pre-tokenizer splits text.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 SLICE_CHARS = 4 << 20
@@ -50,10 +63,20 @@ def default_vocabulary() -> str:
 
 
 def words_of(text: str) -> list[str]:
-    """The words of a text of the fast path; put together they are the text."""
+    """The words of a text; put together they are the text."""
+    if RUNS.search(text):
+        return WORDS.findall(text)
     return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split(MARK)
 
 
+@functools.lru_cache(maxsize=1)
+def unsettled() -> re.Pattern:
+    """Characters that are in no class yet by this Python's tables; the library's may be newer or older."""
+    free = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in edge.reshape(-1, 2).tolist()) + "]")
+
+
 # -- the automaton ------------------------------------------------------------------------------------------------
 
 
@@ -169,7 +192,7 @@ class Merger:
             whole = json.load(f)
         model = whole["model"]
         vocab = model["vocab"]
-        added = {t["content"]: t["id"] for t in whole.get("added_tokens") or []}
+        self.added = added = {t["content"]: t["id"] for t in whole.get("added_tokens") or []}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         key = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(key)
@@ -189,9 +212,48 @@ class Merger:
         at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
         return np.where(self.pair_key[at] == key, self.pair_rank[at], self.NONE)
 
+    @functools.cached_property
+    def pairs(self) -> dict[int, int]:
+        return dict(zip(self.pair_key.tolist(), self.pair_rank.tolist(), strict=True))
+
+    def one(self, piece: bytes) -> np.ndarray:
+        """Ids of a long piece: the pair of lowest rank, the leftmost of equals, comes from a heap."""
+        tokens, pairs, merged, n = self.first[np.frombuffer(piece, np.uint8)].tolist(), self.pairs, self.merged, len(piece)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, tokens[i], tokens[i + 1]) for i in range(n - 1) if (r := pairs.get(tokens[i] << 20 | tokens[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if tokens[i] != a or j >= n or tokens[j] != b:
+                continue  # one of both has been merged since
+            tokens[i], tokens[j], k = int(merged[r]), -1, after[j]
+            after[i] = k
+            if k < n:
+                before[k] = i
+            for x, y in ((before[i], i), (i, k)):
+                if x >= 0 and y < n and (r := pairs.get(tokens[x] << 20 | tokens[y])) is not None:
+                    heapq.heappush(heap, (r, x, tokens[x], tokens[y]))
+        return np.array([t for t in tokens if t >= 0], np.int32)
+
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces in a row, and how many each has. In each round every piece merges all places of its pair
-        of lowest rank, from the left, which is what merging them one at a time comes to."""
+        """Ids of all pieces in a row, and how many each has."""
+        if not any(len(p) > LONG for p in pieces):
+            return self.rounds(pieces)
+        alone = {i: self.one(p) for i, p in enumerate(pieces) if len(p) > LONG}
+        ids, n = self.rounds([b"" if i in alone else p for i, p in enumerate(pieces)])
+        for i, x in alone.items():
+            n[i] = len(x)
+        out, at = np.empty(int(n.sum()), np.int32), np.cumsum(n) - n
+        short = np.array([i for i in range(len(pieces)) if i not in alone], np.int64)
+        out[spread(at[short], n[short])] = ids
+        for i, x in alone.items():
+            out[at[i] : at[i] + n[i]] = x
+        return out, n
+
+    def rounds(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """In each round every piece merges all places of its pair of lowest rank, from the left, which is what merging
+        them one at a time comes to."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         tokens = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
         who = np.flatnonzero(lengths)
@@ -272,7 +334,15 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.recent: dict[str, bytes] = {}  # merged words, at most RECENT_WORDS and those of a slice
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)")
+        if odd := [t.content for t in self.library.get_added_tokens_decoder().values() if t.single_word or t.lstrip or t.rstrip]:
+            raise ValueError(f"added tokens that take in their surroundings: {odd}")
+        self.added = self.merger.added
+        self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
+
+    def pieces(self, word: str) -> list[str]:
+        if unsettled().search(word):
+            return [word[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(word)]
+        return PIECES.findall(word)
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words in a row, and how many each has."""
@@ -291,14 +361,19 @@ class Encoder:
         out, at = np.empty(int(counts.sum()), np.uint32), np.cumsum(counts) - counts
         out[spread(at[held], counts[held])] = self.lexicon.ids[spread(self.lexicon.id_from[rank[held]], counts[held])]
         out[spread(at[other], counts[other])] = np.frombuffer(b"".join(merged), np.uint32)
+        for w in unseen:
+            if len(w) > 64:
+                del self.recent[w]
         return out, counts
 
     def merge(self, words: list[str]) -> None:
         """Put the ids of distinct words into recent, as bytes."""
-        blank = [w for w in words if not w.strip()]
-        words = [w for w in words if w.strip()]
-        for w in blank:
-            self.recent[w] = np.concatenate([self.merger.encode([p.encode()])[0] for p in PIECES.findall(w)] or [np.empty(0, np.int32)]).astype(np.uint32).tobytes()
+        odd = [not w.strip() or "\n" in w for w in words]
+        if unsettled().search("".join(words)):
+            odd = [x or unsettled().search(w) for x, w in zip(odd, words, strict=True)]
+        for w in [w for x, w in zip(odd, words, strict=True) if x]:
+            self.recent[w] = self.merger.encode([p.encode() for p in self.pieces(w)])[0].astype(np.uint32).tobytes()
+        words = [w for x, w in zip(odd, words, strict=True) if not x]
         if not words:
             return
         tokens = PIECES.findall("\n".join(words))  # the line end is a piece of its own, for words hold none
@@ -316,19 +391,31 @@ class Encoder:
         for w, a, b in zip(words, [0, *ends], ends, strict=False):
             self.recent[w] = data[a:b]
 
+    def parts(self, text: str) -> list[str]:
+        """The words of a text and, as they are, its added tokens."""
+        if not self.special.search(text):
+            return words_of(text)
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += [*words_of(text[at : m.start()]), m[0]]
+            at = m.end()
+        return out + words_of(text[at:])
+
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        plain = [not ODD.search(t) and not self.special.search(t) for t in texts]
-        split = [words_of(t) if p else [] for t, p in zip(texts, plain, strict=True)]
+        split = list(map(self.parts, texts))
         number = dict.fromkeys(w for x in split for w in x)
         for i, w in enumerate(number):
             number[w] = i
+        for w, i in self.added.items():
+            if w in number:
+                self.recent[w] = np.array([i], np.uint32).tobytes()
         ids, counts = self.words(list(number))
         flat = np.fromiter((n for x in split for n in map(number.__getitem__, x)), np.int64)
         begin = np.cumsum(counts) - counts
         taken = ids[spread(begin[flat], counts[flat])] if len(flat) else ids[:0]
         ends = np.concatenate([[0], np.cumsum(counts[flat])])[np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)]
-        return [taken[ends[i] : ends[i + 1]] if p else np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) for i, (t, p) in enumerate(zip(texts, plain, strict=True))]
+        return [taken[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.merger.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -343,7 +430,11 @@ def worker_encoder(path: str, key: str, lexicon) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, n: int, text: str = "text") -> list[str]:
-    """The most frequent words, at most n and as many as have the same count or none, from counts over all texts of the fast path."""
+    """The most frequent words, at most n and as many as have the same count or none, from counts over all texts."""
+
+    def reported(found) -> pa.RecordBatch:
+        words = [(w, c) for w, c in found.items() if c > 1 and len(w) <= 64]
+        return pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in words], pa.string()), "n": pa.array([c for _, c in words], pa.int64())})
 
     def count(batches):
         from collections import Counter
@@ -351,16 +442,16 @@ def frequent_words(docs: DataFrame, n: int, text: str = "text") -> list[str]:
         found: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                if t and not ODD.search(t):
+                if t:
                     found.update(words_of(t))
-        words = [(w, c) for w, c in found.items() if c > 1]
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
-            yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in part], pa.string()), "n": pa.array([c for _, c in part], pa.int64())})
+                    if len(found) > COUNTED:
+                        yield reported(found)
+                        found.clear()
+        yield reported(found)
 
     counts = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     with Scratch(docs.sparkSession) as scratch:
-        counts = scratch.write(counts.filter(F.length("word") <= 64))
+        counts = scratch.write(counts)
         # how many words occur how often: a row for each power of two, then one for each count in the power that is cut
         power = F.length(F.bin("n")) - 1
         taken, least = 0, 1
@@ -379,8 +470,8 @@ def frequent_words(docs: DataFrame, n: int, text: str = "text") -> list[str]:
 
 def build_lexicon(words: list[str], path: str) -> bytes:
     """The automaton of these words and their ids."""
-    data = sorted({w.encode(): w for w in words if w and not ODD.search(w)}.items())
     merger = Merger(path)
+    data = sorted({w.encode(): w for w in words if w and w not in merger.added and not unsettled().search(w)}.items())
     pieces = [[p.encode() for p in PIECES.findall(w)] for _, w in data]
     ids, n = merger.encode([p for x in pieces for p in x])
     ends, out, at = np.cumsum(n), [], 0

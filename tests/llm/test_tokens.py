@@ -125,3 +125,34 @@ def test_frequent_words(spark):
         assert set(got) == {w for w, c in counts.items() if c >= low and c > 1}
         above = [c for w, c in counts.items() if w not in got and c > 1]
         assert not above or len(got) + sum(c == max(above) for c in above) > n
+
+
+SCRIPTS = ["“quotes” – dashes… it’s", "Привет, мир! Ёлка", "你好，世界。" * 40, "e\u0301 👍🏽 \U0001f9d1\u200d🚀", "tabs\tand  runs \n\n of\u00a0blanks\u3000 ", "\x1c\x00\x85'll 's", "a\U0001e6c0b ՘", "x" * 1500 + " " + "né" * 900]
+
+
+@pytest.mark.parametrize("lexicon", [[], [" the", "Привет", " runs", "\n", "<|endoftext|>", "，"]])
+def test_every_script_takes_the_automaton_and_the_merger(lexicon):
+    path = bpe.default_vocabulary()
+    encoder, t = bpe.Encoder(path, bpe.build_lexicon(lexicon, path)), library(path)
+
+    class OnlyCuts:  # the library's model may not be asked
+        pre_tokenizer = t.pre_tokenizer
+
+    encoder.library = OnlyCuts()
+    rng = random.Random(11)
+    pieces = [*SCRIPTS, " ", "\n", "<|endoftext|>", "<|end", "it's", "12½", "٣", "ß"]
+    texts = [*pieces, *("".join(rng.choice(pieces) for _ in range(6)) for _ in range(60))]
+    for text, ids in zip(texts, encoder.texts(texts), strict=True):
+        want = t.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == want and encoder.decode(ids) == t.decode(want, skip_special_tokens=False)
+
+
+def test_long_pieces_merge_as_short_ones_do(monkeypatch):
+    merger, rng = bpe.Merger(bpe.default_vocabulary()), random.Random(2)
+    pieces = ["".join(rng.choice("abcdeést") for _ in range(n)).encode() for n in (1, 0, 7, 300, 40, 900)]
+    monkeypatch.setattr(bpe, "LONG", 1 << 30)
+    ids, n = merger.encode(pieces)
+    for limit in (0, 8, 400):
+        monkeypatch.setattr(bpe, "LONG", limit)
+        got = merger.encode(pieces)
+        assert got[0].tolist() == ids.tolist() and got[1].tolist() == n.tolist()
