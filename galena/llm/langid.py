@@ -5,11 +5,13 @@ rotated twice and the second once; a text's vector bundles (adds) those of its t
 those of all its training texts. A text gets the language whose prototype has the largest cosine with its vector.
 
 Random vectors come from a fixed seed, and all sums are of whole numbers, so results don't depend on how rows are dealt.
-Training sends one vector per language and task, never trigram tables; what the driver keeps is languages x dimensions.
+Training sends one vector per language and task, never trigram tables; what the driver keeps is languages x dimensions. What a
+task holds at once is bounded by BLOCK numbers, besides an Arrow batch and one vector a text of a slice.
 
 Defined cases: a null text and a text without a letter are ``und`` with score 0; training ignores rows with null
 text or lang; without any training row all texts are ``und``; ties go to the language that sorts first; repeated rows count
-once each; other columns are kept by ``predict`` (its own columns replace those of the same name).
+once each; texts of any length count whole; a document with a null key isn't held out; other columns are kept by ``predict`` (its own
+columns replace those of the same name); empty tables give empty results and no prototypes.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ CLASSES = 128
 SEED = 20240229
 UNKNOWN = "und"
 SLICE_CHARS = 1 << 20
+#: Numbers of a table of texts x trigrams, or of trigrams x dimensions.
+BLOCK = 1 << 21
 
 
 @functools.lru_cache(maxsize=1)
@@ -81,43 +85,63 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bundle(texts: list[str], dimensions: int) -> np.ndarray:
-    """The vector of each text, as whole numbers in float32 or float64."""
+    """The vector of each text, of whole numbers: texts go in blocks of bounded tables."""
     codes, of = trigrams(texts)
-    if not len(codes):
-        return np.zeros((len(texts), dimensions), np.float32)
-    known, place = np.unique(codes, return_inverse=True)
     out = np.zeros((len(texts), dimensions), np.float32)
-    counts = np.bincount(of * len(known) + place, minlength=len(texts) * len(known)).reshape(len(texts), len(known)).astype(np.float32)
-    for i in range(0, len(known), 4096):
-        out += counts[:, i : i + 4096] @ trigram_vectors(known[i : i + 4096], dimensions).astype(np.float32)
+    bounds, step = np.searchsorted(of, np.arange(len(texts) + 1)), 256
+    for a in range(0, len(texts), step):
+        b = min(a + step, len(texts))
+        known, place = np.unique(codes[bounds[a] : bounds[b]], return_inverse=True)
+        out[a:b] = summed(known, place, of[bounds[a] : bounds[b]] - a, b - a, dimensions)
+    return out
+
+
+def summed(known: np.ndarray, place: np.ndarray, of: np.ndarray, n: int, dimensions: int) -> np.ndarray:
+    """The sums of the vectors of known[place] by text, of which there are n."""
+    out, wide = np.zeros((n, dimensions), np.float32), max(1, BLOCK // dimensions)
+    pairs, counts = np.unique(of * max(len(known), 1) + place, return_counts=True)
+    text, which = np.divmod(pairs, max(len(known), 1))
+    if 16 * len(pairs) >= n * len(known):  # texts share their trigrams: a dense table of counts
+        order = np.argsort(which, kind="stable")
+        text, which, counts = text[order], which[order], counts[order]
+        wide = min(wide, max(1, BLOCK // max(n, 1)))
+        for i in range(0, len(known), wide):
+            a, b = np.searchsorted(which, (i, i + wide))
+            table = np.zeros((n, min(wide, len(known) - i)), np.float32)
+            table[text[a:b], which[a:b] - i] = counts[a:b]
+            out += table @ trigram_vectors(known[i : i + wide], dimensions).astype(np.float32)
+        return out
+    for i in range(0, len(pairs), wide):
+        part = slice(i, i + wide)
+        vectors = trigram_vectors(known[which[part]], dimensions) * counts[part, None].astype(np.float32)
+        first = np.flatnonzero(np.concatenate([[True], np.diff(text[part]) > 0]))
+        out[text[part][first]] += np.add.reduceat(vectors, first, axis=0)
     return out
 
 
 def held_out(key: Column) -> Column:
     """The documents kept out of training: crc32 of the id as text, modulo 4, is 2."""
-    return F.crc32(key.cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """Prototypes of unit length from all rows given."""
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    size = CLASSES**3
 
     def count(batches):
-        found: dict[str, np.ndarray] = {}  # trigram counts of each language
+        totals: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for name in sorted(set(langs)):
                 mine = [t for t, x in zip(texts, langs, strict=True) if x == name]
-                for a, b in slices(mine, SLICE_CHARS):
-                    codes, n = np.unique(trigrams(mine[a:b])[0], return_counts=True)
-                    found.setdefault(name, np.zeros(size, np.int64))[codes] += n
-        for name, counts in found.items():
-            known = np.flatnonzero(counts)
-            total = np.zeros(dimensions, np.int64)
-            for i in range(0, len(known), 4096):
-                total += (counts[known[i : i + 4096]].astype(np.float64) @ trigram_vectors(known[i : i + 4096], dimensions).astype(np.float64)).astype(np.int64)
+                codes, n = zip(*(np.unique(trigrams(mine[a:b])[0], return_counts=True) for a, b in slices(mine, SLICE_CHARS)), strict=True)
+                known, place = np.unique(np.concatenate(codes), return_inverse=True)
+                total = totals.setdefault(name, np.zeros(dimensions, np.int64))
+                counts, wide = np.bincount(place, np.concatenate(n), len(known)), max(1, BLOCK // dimensions)
+                for i in range(0, len(known), wide):
+                    total += (counts[i : i + wide] @ trigram_vectors(known[i : i + wide], dimensions).astype(np.float64)).astype(np.int64)
+        for name, total in totals.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * dimensions, pa.string()), "at": pa.array(np.arange(dimensions), pa.int32()), "value": pa.array(total, pa.int64())})
 
     sums = own.mapInArrow(count, "lang string, at int, value long").groupBy("lang", "at").agg(F.sum("value").alias("value"))

@@ -2,18 +2,20 @@
 
 A file holds shards, one after the other, each with its own length, so that a reader can go from one to the next:
 
-    magic "GTOK0001" | u64 bytes of the shard after this field | u32 bits per id | u32 ids per block | u64 documents | u64 ids
-    | i64 doc_id of each | u8 whether the doc_id is null | u64 first id of each document, and the end
+    magic "GTOK0002" | u64 bytes of the shard after this field | u32 bits per id | u32 ids per block | u64 documents | u64 ids
+    | u64 partition | u64 number of the shard within it | i64 doc_id of each | u8 whether the doc_id is null | u64 first id of each document, and the end
     | u64 byte offset of each block in the payload, and the end | payload: blocks, each padded to whole bytes
 
-and ends with a line feed, which readers skip. Documents stand in ascending order of doc_id within a file and from one
-file to the next. A block can be unpacked alone, and so can any run of ids.
+and ends with a line feed, which readers skip. Documents stand in ascending order of doc_id within a shard and from one
+shard to the next; the order of shards is that of partition and number, whatever the files' names. A block can be unpacked alone, and
+so can any run of ids. A file holds at most FILE_SHARDS shards, however many there are, for the reader takes a file as one value.
 
 Files are written by Spark's text writer, a shard being a value, so that a lost executor's work is committed once or not
 at all, on any file system; they are read by the binaryFile source.
 
 Defined cases: a null text counts as empty (only the end id); a null doc_id stands before all others; repeated rows are
-encoded once each, next to each other; other columns are ignored; an empty table gives files without shards.
+encoded once each, next to each other; rows with the same doc_id stand in the order of a hash of their texts; a text of any length is
+encoded whole, and a longer one than a shard's ids is a shard of its own; other columns are ignored; an empty table gives files without shards.
 """
 
 from __future__ import annotations
@@ -26,16 +28,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, checkpoint, slices
 
-MAGIC = b"GTOK0001"
+MAGIC = b"GTOK0002"
 END = 1
 BLOCK = 1 << 14
 #: A shard ends with the document that brings it to so many ids.
 SHARD_IDS = 4 << 20
+FILE_SHARDS = 16
+#: Text of a partition, on average.
+PARTITION_BYTES = 256 << 20
 SLICE_CHARS = 2 << 20
 RECENT_WORDS = 250_000
 
@@ -67,12 +73,12 @@ def unpack(data: np.ndarray, bits: int, start: int, n: int) -> np.ndarray:
     return np.packbits(np.pad(flat, ((0, 0), (0, 32 - bits))), axis=1, bitorder="little").view("<u4").reshape(-1).astype(np.uint32)
 
 
-def shard(doc_ids: list, ids: list[np.ndarray], bits: int, block: int = BLOCK) -> bytes:
+def shard(doc_ids: list, ids: list[np.ndarray], bits: int, block: int = BLOCK, partition: int = 0, number: int = 0) -> bytes:
     flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
     ends = np.cumsum([0, *map(len, ids)]).astype("<u8")
     blocks = [pack(flat[i : i + block], bits) for i in range(0, len(flat), block)]
     body = b"".join([
-        struct.pack("<IIQQ", bits, block, len(ids), len(flat)),
+        struct.pack("<IIQQQQ", bits, block, len(ids), len(flat), partition, number),
         np.array([i or 0 for i in doc_ids], "<i8").tobytes(), np.array([i is None for i in doc_ids], "u1").tobytes(),
         ends.tobytes(), np.cumsum([0, *map(len, blocks)]).astype("<u8").tobytes(), *blocks,
     ])
@@ -83,8 +89,8 @@ class Shard:
     """Random access to a shard in memory."""
 
     def __init__(self, body: memoryview):
-        self.bits, self.block, self.n_docs, self.n_ids = struct.unpack_from("<IIQQ", body)
-        at = 24
+        self.bits, self.block, self.n_docs, self.n_ids, self.partition, self.number = struct.unpack_from("<IIQQQQ", body)
+        at = 40
         take = lambda kind, n: np.frombuffer(body, kind, n, at)
         self.doc_ids = take("<i8", self.n_docs)
         at += 8 * self.n_docs
@@ -181,16 +187,20 @@ def worker_encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def partitions_for(n_bytes: int, least: int) -> int:
+    return max(least, -(-n_bytes // PARTITION_BYTES))
+
+
 def write(docs: DataFrame, out: str, path: str | None = None, key: str = "doc_id", text: str = "text", end: int = END, partitions: int | None = None) -> None:
-    """Encode and write. Texts are shuffled once, into ranges of doc_id; a partition is a file of one or more shards."""
+    """Encode and write. Texts are shuffled once, into ranges of doc_id, whose number follows the measured length of all texts."""
     spark = docs.sparkSession
     bounded_batches(spark)
     path = path or default_vocabulary()
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or partitions_for(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
-        encoder = worker_encoder(path)
+        encoder, at, number = worker_encoder(path), TaskContext.get().partitionId(), 0
         bits, keys, found, total = bits_for(encoder.size), [], [], 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -199,22 +209,22 @@ def write(docs: DataFrame, out: str, path: str | None = None, key: str = "doc_id
                 found.append(np.append(encoder.text(t or ""), np.uint32(end)).astype(np.uint16 if bits <= 16 else np.uint32))
                 total += len(found[-1])
                 if total >= SHARD_IDS:
-                    yield pa.RecordBatch.from_pydict({"value": pa.array([shard(keys, found, bits)], pa.binary())})
-                    keys, found, total = [], [], 0
+                    yield pa.RecordBatch.from_pydict({"value": pa.array([shard(keys, found, bits, partition=at, number=number)], pa.binary())})
+                    keys, found, total, number = [], [], 0, number + 1
         if keys:
-            yield pa.RecordBatch.from_pydict({"value": pa.array([shard(keys, found, bits)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"value": pa.array([shard(keys, found, bits, partition=at, number=number)], pa.binary())})
 
     ranged = own.repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"))
-    ranged.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(out)
+    ranged.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_SHARDS).text(out)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the files: file, shard (its place in the file), place, key, first (id within the shard), n_tokens and ids_crc32."""
+    """Per document of the files: partition and shard (whose order is that of the ids), key, first (id within the shard), n_tokens and ids_crc32."""
 
     def run(batches):
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for i, s in enumerate(shards(content.as_buffer())):
+            for content in batch.column(0):
+                for s in shards(content.as_buffer()):
                     ends = s.ends.astype(np.int64)
                     crc = []
                     for a, b in slices_of(ends):
@@ -222,13 +232,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         cut = ends[a : b + 1] - ends[a]
                         crc += [zlib.crc32(run_ids[cut[j] : cut[j + 1]].tobytes()) for j in range(b - a)]
                     yield pa.RecordBatch.from_pydict({
-                        "file": pa.array([name] * s.n_docs, pa.string()), "shard": pa.array([i] * s.n_docs, pa.int32()), "place": pa.array(np.arange(s.n_docs), pa.int64()),
+                        "partition": pa.array([s.partition] * s.n_docs, pa.int64()), "shard": pa.array([s.number] * s.n_docs, pa.int64()),
                         "key": pa.array(s.doc_ids.astype(np.int64), pa.int64(), mask=s.null.astype(bool)), "first": pa.array(ends[:-1], pa.int64()),
                         "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
                     })
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, shard int, place long, key long, first long, n_tokens long, ids_crc32 long")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    return files.mapInArrow(run, "partition long, shard long, key long, first long, n_tokens long, ids_crc32 long")
 
 
 def slices_of(ends: np.ndarray, n_ids: int = 1 << 20):
@@ -244,8 +254,13 @@ def index(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """Per document: key, start (ids of all documents before it), n_tokens, ids_crc32, read from the files. Where each
     shard starts comes from the shards' totals: a row for each shard, not for each document, is summed up in order."""
     rows = checkpoint(read(spark, path))
-    totals = rows.groupBy("file", "shard").agg(F.sum("n_tokens").alias("total"))
-    before = Window.orderBy("file", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(F.col("file").alias("in_file"), F.col("shard").alias("in_shard"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    joined = rows.join(base, (F.col("file") == F.col("in_file")) & (F.col("shard") == F.col("in_shard")))
-    return joined.select(F.col("key").alias(key), (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    return placed(rows).withColumnRenamed("key", key)
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """rows: partition, shard, key, first, n_tokens, ids_crc32."""
+    totals = rows.groupBy("partition", "shard").agg(F.sum("n_tokens").alias("total"))
+    before = Window.orderBy("partition", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(F.col("partition").alias("p"), F.col("shard").alias("s"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    joined = rows.join(base, (F.col("partition") == F.col("p")) & (F.col("shard") == F.col("s")))
+    return joined.select("key", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")

@@ -156,3 +156,39 @@ def test_long_pieces_merge_as_short_ones_do(monkeypatch):
         monkeypatch.setattr(bpe, "LONG", limit)
         got = merger.encode(pieces)
         assert got[0].tolist() == ids.tolist() and got[1].tolist() == n.tolist()
+
+
+def test_start_follows_partitions_not_file_names(spark):
+    """More files than five digits can number."""
+    n = 100_001
+    rows = spark.range(n).selectExpr("id as partition", "0L as shard", "id as key", "0L as first", "id % 3 as n_tokens", "0L as ids_crc32")
+    more = rows.filter("partition % 10 = 0").selectExpr("partition", "1L as shard", "key", "0L as first", "1L as n_tokens", "ids_crc32")
+    got = {(r.key, r.n_tokens, r.start) for r in tokenpack.placed(rows.union(more)).filter("key >= 99990").collect()}
+    start = sum(i % 3 + (i % 10 == 0) for i in range(99990))
+    want = set()
+    for i in range(99990, n):
+        want.add((i, i % 3, start))
+        start += i % 3
+        if i % 10 == 0:
+            want.add((i, 1, start))
+            start += 1
+    assert got == want
+
+
+def test_shards_order_files(spark, tmp_path, monkeypatch):
+    """Many small shards and files, renamed so that their names sort the other way round."""
+    monkeypatch.setattr(tokenpack, "SHARD_IDS", 40)
+    monkeypatch.setattr(tokenpack, "FILE_SHARDS", 2)
+    docs = [(i * 3 % 200 - 50, " ".join(["word", "Straße", "x9"] * (i % 7))) for i in range(200)]
+    tokenpack.write(spark.createDataFrame(docs, "doc_id long, text string"), f"file://{tmp_path}/w", partitions=3)
+    files = sorted(p for p in os.listdir(tmp_path / "w") if p.startswith("part-"))
+    assert len(files) > 6
+    os.mkdir(tmp_path / "r")
+    for i, p in enumerate(files):
+        os.rename(tmp_path / "w" / p, tmp_path / "r" / f"part-{99999 - i}")
+    got = sorted(map(tuple, tokenpack.index(spark, f"file://{tmp_path}/r").collect()))
+    assert got == sorted(stream(sorted(docs), tokenpack.default_vocabulary()))
+
+
+def test_partitions_follow_the_texts():
+    assert [tokenpack.partitions_for(n, 8) for n in (0, 1 << 30, 100 << 40)] == [8, 8, 409600]
