@@ -8,6 +8,11 @@ A stage is (spark, docs, sf_dir) -> DataFrame. All but the last return the colum
 * decontamination drops documents that hold ten consecutive words of a benchmark item.
 * pii replaces personal data by surrogates.
 * bpe adds the ids' digest and count.
+
+Defined cases, by stage: a null or empty text, and one without a letter, goes in language_id; rows that share a doc_id or have none are told apart
+by their texts, so only copies and near copies of a text go; of equal candidates near_dedup keeps the smallest doc_id; repeated rows are copies;
+texts of any length count whole; columns that documents have besides are kept by all stages, whatever their names (the last replaces those
+that are called as its own); empty tables pass through all stages. ``run`` leaves nothing in the shared folder but the checkpoint of its result.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galena.llm import bpe, decontam, langid, neardup, pii
-from galena.llm.common import Scratch
+from galena.llm.common import Scratch, checkpoint
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymise(docs).drop("n_entities")
+    out = pii.pseudonymise(docs, pii.session_key(spark)).drop("n_entities")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
@@ -56,12 +61,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scratch, before = Scratch(spark), None
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = scratch.write(docs)
-            if before is not None:
-                scratch.remove(before)
-            before = docs
-    return docs
+    with Scratch(spark) as scratch:
+        before = None
+        for i, (_, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if i < len(STAGES) - 1:
+                docs = scratch.write(docs)
+                if before is not None:
+                    scratch.remove(before)
+                before = docs
+        return checkpoint(docs)

@@ -20,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where the session has none (as in
-    tests on one machine) a temporary one is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where a session on one machine has none (as in
+    tests) a temporary one is set; on a cluster that is an error."""
     prepared(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="galena-")
         spark.sparkContext.setCheckpointDir(found)
     elif not spark.sparkContext.getCheckpointDir():
@@ -100,3 +102,14 @@ def slices(texts: list, n_chars: int):
             at, total = i + 1, 0
     if at < len(texts):
         yield at, len(texts)
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before them until no column of docs has them."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out

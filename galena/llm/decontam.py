@@ -2,12 +2,13 @@
 training documents are scanned against it, and hits are verified word by word.
 
 DataFrame functions only. Documents aren't shuffled: windows leave the scan only where they hit. What is broadcast is
-bounded by ``max_broadcast_bytes`` against a measured size; a larger benchmark is joined by a shuffle instead.
+bounded by ``max_broadcast_bytes`` against a measured size; a larger benchmark is joined by a shuffle instead. A text is cut
+into chunks of CHUNK words, each with the beginning of the next, before windows are made, so that no row holds the windows of a whole text.
 
 Defined cases: a null or empty text has no words and no hit; items without words give no window; an item of fewer words
 than ``n`` is one window of all its words; repeated documents are reported once per row; a repeated item_id
-counts once; ``decontaminate`` tells rows by doc_id and text, so a clean text stays whatever shares its doc_id; other columns of
-the inputs are ignored here and kept by ``decontaminate``; empty tables give no hits.
+counts once; of a window that several items have all items are counted, and its words once; texts of any length are scanned whole; ``decontaminate`` tells rows by doc_id and text, so a clean text stays whatever shares its doc_id; other columns of
+the inputs are ignored by ``contamination`` and kept, whatever their names, by ``decontaminate``; empty tables give no hits.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, words_by
+from .common import free_names, let, lower_ascii, words_by
 
 #: Everything in ASCII but digits and a-z, after lower-casing.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_BYTES = 64 << 20
+CHUNK = 4096
 
 
 def words(text: Column) -> Column:
@@ -51,9 +53,12 @@ def hit_rows(docs: DataFrame, benchmark: DataFrame, n: int, item: str, item_text
     grams = benchmark_windows(benchmark, n, item, item_text)
     # one row of facts: which lengths below n occur, and how large the set is
     lengths, size = grams.agg(F.collect_set("len"), F.coalesce(F.sum(F.length("gram") + 16 * F.size("items") + 64), F.lit(0))).first()
-    marked = lambda w, k: F.transform(windows(w, k), lambda x, i: F.struct(i.alias("at"), F.lit(k).alias("len"), x.alias("window")))
+    # the windows that begin in a chunk's own words; the words after those belong to the next chunk
+    marked = lambda w, k: F.transform(F.slice(windows(w, k), 1, CHUNK), lambda x, i: F.struct((F.col("base") + i).alias("at"), F.lit(k).alias("len"), x.alias("window")))
     empty = F.array().cast("array<struct<at:int,len:int,window:string>>")
-    scanned = docs.select("key", "version", F.inline(let(words(F.col("text")), lambda w: F.concat(empty, *[marked(w, k) for k in sorted(lengths)]))))
+    chunk = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(CHUNK)), lambda b: F.struct(b.alias("base"), F.slice(w, b + 1, CHUNK + n - 1).alias("part")))
+    chunks = docs.select("key", "version", F.inline(let(words(F.col("text")), chunk)))
+    scanned = chunks.select("key", "version", F.inline(F.concat(empty, *[marked(F.col("part"), k) for k in sorted(lengths)])))
     known = grams.withColumnRenamed("len", "gram_len")
     known = F.broadcast(known) if size <= max_broadcast_bytes else known.hint("merge")
     scanned = scanned.withColumn("hash", F.xxhash64("window"))
@@ -81,5 +86,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str =
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The documents, with all their columns, that hold no window of the benchmark."""
     hits = hit_rows(versioned(docs, key, text), benchmark, n, item, item_text, max_broadcast_bytes).filter("n_hit > 0")
-    hits = hits.select(F.col("hit_key").alias("__hit"), F.col("hit_version").alias("__hit_version"))
-    return docs.join(hits, F.col(key).eqNullSafe(F.col("__hit")) & (version_of(F.col(text)) == F.col("__hit_version")), "left_anti")
+    hit, version = free_names(docs, "__hit", "__hit_version")
+    hits = hits.select(F.col("hit_key").alias(hit), F.col("hit_version").alias(version))
+    return docs.join(hits, F.col(key).eqNullSafe(F.col(hit)) & (version_of(F.col(text)) == F.col(version)), "left_anti")

@@ -8,16 +8,17 @@ How hot groups are kept apart:
 * A link between two members that aren't linked with the first one can only be missed where a bucket's members end up in different
   components. Such buckets are taken up again: every member outside the largest component is compared with all members
   of the other components, block by block, and a block reports links that join components, at most one less than it has
-  members. So no link that matters to the components is lost, and no pairs are sent around.
+  members. So no link that matters to the components is lost, and no pairs are sent around. Blocks that carry sets hold
+  about 2 BLOCK_SHINGLES shingles, or one set that is larger.
 
 A pair at the similarity limit s is in no common bucket with a probability of (1 - s^4)^bands, which ``bands_for`` keeps under
 4e-6 (17 bands at 0.85, 24 at 0.8); above the limit it is less. Shingles are compared by 64-bit fingerprints.
 
 Defined cases: null and empty texts and texts without words have an empty set and are linked with nothing, not even with
 each other; with fewer words than a shingle needs, the whole sequence is the only shingle; repeated rows are copies of each
-other; a row's component is that of its text, also when its doc_id occurs with other texts; a null doc_id stays null and is
+other; texts of any length count whole; of equal candidates the smallest is chosen; a row's component is that of its text, also when its doc_id occurs with other texts; a null doc_id stays null and is
 no candidate for component_id unless its component has no other; ``deduplicate`` tells rows by doc_id and text, keeps one row of
-each component, every row with an empty set, and other columns.
+each component, every row with an empty set, and other columns, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, checkpoint, slices
+from .common import Scratch, bounded_batches, checkpoint, free_names, slices
 
 ROWS = 4
-BLOCK = 1024
+BLOCK, BLOCK_SHINGLES = 1024, 2 << 20
 SLICE_CHARS = 2 << 20
 CHUNK = 4 << 20
 #: Standard errors of the signature's estimate that a candidate may fall short of the limit.
@@ -111,7 +112,7 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
         elif b > a:
             whole = U(b - a)
             for x in prints[a:b]:
-                whole = mix(np.array([whole * MULTIPLIER + x], np.uint64))[0]
+                whole = mix(np.array([whole], np.uint64) * MULTIPLIER + x)[0]
             out.append(np.array([whole], np.uint64))
         else:
             out.append(np.empty(0, np.uint64))
@@ -243,20 +244,21 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
 
 
 def blocks(scratch: Scratch, members: DataFrame, roots: DataFrame) -> DataFrame:
-    """bucket, i, j, node, root, outside: the work left in buckets (bucket, node) that hold more than one component. Each
-    pair of a member outside the bucket's largest component and any other member meets in one block (i, j); a block holds about
-    2 BLOCK rows, so a large bucket is many tasks."""
-    placed = members.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    """bucket, i, j, node, root, outside: the work left in buckets (bucket, node, load) that hold more than one component. Each
+    pair of a member outside the bucket's largest component and any other member meets in one block (i, j); a block holds rows of
+    a load of about 2, so a large bucket is many tasks."""
+    placed = members.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", "load", F.coalesce("root", "node").alias("root"))
     placed = scratch.write(placed)
-    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("n_main"))
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("load").alias("load"))
+    most = F.struct("n", "root")
+    mixed = sizes.groupBy("bucket").agg(F.max_by("root", most).alias("main"), F.count("*").alias("parts"), F.sum("load").alias("load_all"), F.max_by("load", most).alias("load_main"))
     mixed = scratch.write(mixed.filter("parts > 1").withColumnRenamed("bucket", "in"))
     same = scratch.write(placed.join(mixed, F.col("bucket") == F.col("in")).drop("in"))
     # the same members often meet in many bands: of buckets with equal members one is taken
     marks = same.groupBy("bucket").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("root", "node").cast("decimal(38,0)")).alias("y"), F.count("*").alias("z"))
     chosen = scratch.write(marks.groupBy("x", "y", "z").agg(F.min("bucket").alias("in")).select("in"))
     same = same.join(chosen, F.col("bucket") == F.col("in")).drop("in")
-    n_out, n_all = F.ceil((F.col("n") - F.col("n_main")) / BLOCK), F.ceil(F.col("n") / BLOCK)
+    n_out, n_all = (F.greatest(F.ceil(F.round(x, 6)), F.lit(1)).cast("long") for x in (F.col("load_all") - F.col("load_main"), F.col("load_all")))
     spot = lambda n: F.pmod(F.xxhash64("node", "bucket"), n)
     zero = F.lit(0).cast("long")
     # a member goes with each block of outsiders; an outsider also goes, as such, with each block of members
@@ -294,8 +296,8 @@ def hopeful(rows: DataFrame, least: int) -> DataFrame:
     return rows.groupBy("bucket", "i", "j").applyInPandas(block, "bucket long, node binary").distinct()
 
 
-def rest_links(rows: DataFrame, k: int, percent: int, least: int) -> DataFrame:
-    """Confirmed links (a, b) that join components, of blocks with sig and text: in a block, fewer than it has members."""
+def rest_links(rows: DataFrame, percent: int, least: int) -> DataFrame:
+    """Confirmed links (a, b) that join components, of blocks with sig and shingles: in a block, fewer than it has members."""
 
     def block(pdf):
         import pandas as pd
@@ -307,14 +309,8 @@ def rest_links(rows: DataFrame, k: int, percent: int, least: int) -> DataFrame:
                 group[x] = x = group[group[x]]
             return x
 
-        sets: dict = {}
-
-        def full(row):
-            if row.node not in sets:
-                sets[row.node] = shingle_sets([row.text or ""], k)[0]
-            return sets[row.node]
-
         own, others, near = sides(pdf, least)
+        full = lambda row: np.frombuffer(row.shingles, np.uint64)
         members, links = list(others.itertuples(index=False)), []
         for x, at in zip(own.itertuples(index=False), near, strict=False):
             for y in map(members.__getitem__, at):
@@ -326,6 +322,18 @@ def rest_links(rows: DataFrame, k: int, percent: int, least: int) -> DataFrame:
     return rows.groupBy("bucket", "i", "j").applyInPandas(block, "a binary, b binary")
 
 
+def sets_of(own: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """node, shingles: the full sets of the wanted, as sorted fingerprints."""
+
+    def run(batches):
+        for batch in batches:
+            nodes, texts = batch.column(0), batch.column(1).to_pylist()
+            for a, b in slices(texts, SLICE_CHARS):
+                yield pa.RecordBatch.from_arrays([nodes.slice(a, b - a), pa.array([x.tobytes() for x in shingle_sets(texts[a:b], k)], pa.binary())], names=["node", "shingles"])
+
+    return texts_of(own, wanted, k).mapInArrow(run, "node binary, shingles binary")
+
+
 def texts_of(own: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """node, text for the wanted (node, doc): the text of a document whose set is the node's. Documents are found by key and
     digest, as many unrelated ones may share a key or have none."""
@@ -382,12 +390,14 @@ def located(scratch: Scratch, own: DataFrame, k: int, percent: int) -> DataFrame
     roots = components(scratch, links)
     # what stars can't tell: pairs of different components within a bucket
     marked = sigs.select(F.col("node").alias("of"), "sig")
-    rest = scratch.write(hopeful(blocks(scratch, members, roots).join(marked, on("node", "of")).drop("of"), least))
+    rest = scratch.write(hopeful(blocks(scratch, members.withColumn("load", F.lit(1 / BLOCK)), roots).join(marked, on("node", "of")).drop("of"), least))
     if not rest.isEmpty():
         asked = rest.select(F.col("node").alias("of")).distinct()
-        texts = scratch.write(texts_of(own, sigs.join(asked, on("node", "of"), "left_semi"), k))
-        work = blocks(scratch, rest, roots).join(marked, on("node", "of")).drop("of").join(texts.withColumnRenamed("node", "of"), on("node", "of")).drop("of")
-        roots = components(scratch, links.unionByName(rest_links(work, k, percent, least)))
+        sets = scratch.write(sets_of(own, sigs.join(asked, on("node", "of"), "left_semi"), k).withColumnRenamed("node", "of"))
+        load = sets.select("of", F.greatest(F.lit(1 / BLOCK), F.octet_length("shingles") / (8 * BLOCK_SHINGLES)).alias("load"))
+        weighed = rest.join(load, on("node", "of")).drop("of")
+        work = blocks(scratch, weighed, roots).join(marked, on("node", "of")).drop("of").join(sets, on("node", "of")).drop("of")
+        roots = components(scratch, links.unionByName(rest_links(work, percent, least)))
     out = found.select("key", "n_shingles", "digest", "node").join(roots.withColumnRenamed("node", "of"), on("node", "of"), "left").select("key", "n_shingles", "digest", F.coalesce("root", "node").alias("root"))
     return scratch.write(out)
 
@@ -408,9 +418,10 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_
         found = located(scratch, identified(docs, key, text), k, percent).filter("root is not null")
         least = found.groupBy("root").agg(least_row().alias("at"))
         # the key alone may be null or shared by many rows: the join is by row identity
-        kept = checkpoint(least.select(F.coalesce("at.key", F.lit(0)).alias("__kept"), F.col("at.none").alias("__kept_none"), F.col("at.digest").alias("__kept_digest")))
+        names = free_names(docs, "__at", "__none", "__digest", "__kept", "__kept_none", "__kept_digest")
+        own, other = names[:3], names[3:]
+        kept = checkpoint(least.select(*(c.alias(n) for c, n in zip((F.coalesce("at.key", F.lit(0)), F.col("at.none"), F.col("at.digest")), other, strict=True))))
     number, worded = F.col(key).cast("long"), F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    marked = docs.filter(worded).withColumns({"__at": F.coalesce(number, F.lit(0)), "__none": number.isNull(), "__digest": F.unhex(F.md5(text))})
-    same = (F.col("__at") == F.col("__kept")) & (F.col("__none") == F.col("__kept_none")) & (F.col("__digest") == F.col("__kept_digest"))
-    single = marked.join(kept, same, "left_semi").dropDuplicates(["__at", "__none", "__digest"])
+    marked = docs.filter(worded).withColumns(dict(zip(own, (F.coalesce(number, F.lit(0)), number.isNull(), F.unhex(F.md5(text))), strict=True)))
+    single = marked.join(kept, [F.col(a) == F.col(b) for a, b in zip(own, other, strict=True)], "left_semi").dropDuplicates(own)
     return single.select(*docs.columns).unionByName(docs.filter(~worded))

@@ -4,7 +4,8 @@ phrases; failing lines go, and a document that loses too much of its text goes w
 DataFrame functions only, one pass over the scan, no shuffle.
 
 Defined cases: a null text counts as empty and is not kept; a text without words has zeros everywhere; repeated rows are
-judged once each; other columns are kept by ``clean`` and ignored by ``measure``; empty tables give empty results.
+judged once each; of equal lines all but the first are repeated, and lines fail or pass alike; texts of any length are judged whole, in one row; a text
+that loses just MAX_LOST is kept; other columns are ignored, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from .common import BLANK, let, words_by
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEATED_PERCENT = 20, 30
-#: Lines of no more words may lack a full stop (titles, list items).
+#: Lines of no more words may lack a full stop at their end (titles, list items), and so may longer ones whose last stop stands behind their middle.
 SHORT_LINE = 4
 #: Share of a document's words that failing lines may take.
 MAX_LOST = 0.5
@@ -67,7 +68,8 @@ def bad_line(line: Column) -> Column:
     symbolic = line.rlike(r"[#*$%&<>]{2}") & (symbols * 2 >= n_words)
     shouted = (line == F.upper(line)) & (line != F.lower(line)) & (n_words >= 3) | (occurrences(line, "!!") * 5 >= n_words)
     stuttered = line.rlike(r"(?:^|[ \t])(\S+)(?:[ \t]+\1){3}(?:[ \t]|$)")
-    unpunctuated = (n_words > SHORT_LINE) & ~line.rlike(r"[.!?…:;。！？]")
+    tail = F.size(F.split(F.trim(F.regexp_extract(line, r"([^.!?…:;。！？]*+)$", 1)), BLANK))
+    unpunctuated = (n_words > SHORT_LINE) & ~line.rlike(r"[.!?…:;。！？]\S{0,3}\s*$") & (2 * tail > n_words)
     return navigation | symbolic | shouted | unpunctuated | stuttered | line.rlike(BOILERPLATE)
 
 

@@ -57,7 +57,7 @@ def op8(spark, sf_dir):
 
 @query("op9_surrogates")
 def op9(spark, sf_dir):
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
 
 
 @query("op10_language")

@@ -16,7 +16,8 @@ Contents are compared by 128-bit digests and, at borders, byte by byte.
 
 Defined cases: null and empty texts have no bytes and no spans; texts shorter than LENGTH have no spans; a string that overlaps
 its own repetition counts; repeated rows are repetitions of each other; documents that share a doc_id but not the
-text are kept apart; other columns are kept by ``remove``; empty tables give empty results.
+text are kept apart; texts of any length are searched whole, in stretches that overlap by a string's length; of equal hashes in a string the leftmost
+gram is its anchor; other columns are kept by ``remove``, whatever their names (its own columns replace those of the same name); empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, bounded_batches, checkpoint
+from .common import Scratch, bounded_batches, checkpoint, free_names
 
 LENGTH, GRAM = 400, 32
 STARTS = 1 << 20
 #: Groups of more contents are dealt out again; ranges of strings for the next round.
-GROUP, FINER = 4096, (46, 6, 1)
+GROUP, FINER = 512, (46, 6, 1)
 SHALLOW = 64
 SORT_ROWS = 8192
 U = np.uint64
@@ -359,9 +360,10 @@ def remove(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256")
     own = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
     with Scratch(spark) as scratch:
-        ranges = repeated(own, scratch, length).groupBy("doc", "version").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("__ranges"))
-        ranges = checkpoint(ranges.select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), "__ranges"))
-    joined = docs.withColumn("__v", F.xxhash64(text)).join(ranges, F.col(key).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__v") == F.col("__version")), "left").select(*docs.columns, "__ranges")
+        doc, version, spans = free_names(docs, "__doc", "__version", "__ranges")
+        ranges = repeated(own, scratch, length).groupBy(F.col("doc").alias(doc), F.col("version").alias(version)).agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias(spans))
+        ranges = checkpoint(ranges)
+    joined = docs.join(ranges, F.col(key).cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(version)), "left").select(*docs.columns, spans)
     columns = docs.columns
     place, names, last = columns.index(text), [c for c in columns if keep_text or c != text], len(columns)
 

@@ -3,20 +3,23 @@ record is kept apart, and records are reconstructed by a join of the two.
 
 Layout of an archive folder, both parts Parquet: ``payloads`` (digest, payload) with one row per distinct payload, and
 ``records`` (digest, header), the header block byte for byte. A payload is verified against its digest whenever it
-is read. ``export`` writes plain WARC files: a record ends in CRLF CRLF, which Spark's text writer takes as its line end.
+is read. The block of a revisit is empty, as its payload stands in the record that it refers to, and its header says so.
+``export`` writes plain WARC files, with the same headers: a record ends in CRLF CRLF, which Spark's text writer takes as its line end.
 
 Defined cases: a null html is an empty payload; empty payloads are payloads like others; repeated rows of one page_id
-and payload give a record each, all of the type that this page_id has; a null url gives an empty WARC-Target-URI; a
-null page_id sorts after all others; other columns are ignored; an empty table gives an archive without records.
+and payload give a record each, all of the type that this page_id has and each with a record id of its own; revisits refer to the first of
+the smallest page_id's responses, by url; payloads are of any length that a string can have; a null url gives an empty
+WARC-Target-URI; a null page_id sorts after all others; other columns are ignored; an empty table gives an archive without records.
 """
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
-DATE = "2024-01-01T00:00:00Z"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -26,37 +29,42 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def record_id(page: Column, digest: Column) -> Column:
-    h = F.md5(F.concat_ws("/", page.cast("string"), digest))
+def record_id(page: Column, url: Column, nth: Column, digest: Column) -> Column:
+    h = F.md5(F.concat_ws("/", page.cast("string"), digest, nth.cast("string"), url))
     return F.concat(F.lit("<urn:uuid:"), *[x for i, (a, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for x in ([F.lit("-")] if i else []) + [F.substring(h, a, n)]], F.lit(">"))
 
 
-def header(page: Column, url: Column, kind: Column, n_bytes: Column, sha1: Column, digest: Column, owner: Column) -> Column:
-    """The header block of a record. Header values hold no line ends: those of a URL are percent-encoded."""
-    uri = F.replace(F.replace(F.coalesce(url, F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+def header(date: str) -> Column:
+    """The header block of a record (page, url, nth, digest, sha1, n_bytes, owner). Header values hold no line ends: those of a URL are percent-encoded."""
+    page, owner = F.col("page"), F.col("owner.page")
+    kind = F.when(page.eqNullSafe(owner), "response").otherwise("revisit")
+    uri = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     revisit = F.concat(
         F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: "),
-        record_id(owner, digest), F.lit(f"{CRLF}X-Refers-To-Page: "), F.coalesce(owner.cast("string"), F.lit("")), F.lit(CRLF),
+        record_id(owner, F.col("owner.url"), F.lit(1), F.col("digest")), F.lit(f"{CRLF}X-Refers-To-Page: "), F.coalesce(owner.cast("string"), F.lit("")), F.lit(CRLF),
     )
     return F.concat(
-        F.lit(f"WARC/1.1{CRLF}WARC-Type: "), kind, F.lit(f"{CRLF}WARC-Record-ID: "), record_id(page, digest),
-        F.lit(f"{CRLF}WARC-Date: {DATE}{CRLF}WARC-Target-URI: "), uri, F.lit(f"{CRLF}X-Page: "), F.coalesce(page.cast("string"), F.lit("")), F.lit(CRLF),
+        F.lit(f"WARC/1.1{CRLF}WARC-Type: "), kind, F.lit(f"{CRLF}WARC-Record-ID: "), record_id(page, F.col("url"), F.col("nth"), F.col("digest")),
+        F.lit(f"{CRLF}WARC-Date: {date}{CRLF}WARC-Target-URI: "), uri, F.lit(f"{CRLF}X-Page: "), F.coalesce(page.cast("string"), F.lit("")), F.lit(CRLF),
         F.when(kind == "revisit", revisit).otherwise(F.lit("")),
-        F.lit("WARC-Payload-Digest: sha1:"), sha1, F.lit(f"{CRLF}Content-Type: text/html{CRLF}Content-Length: "), n_bytes.cast("string"), F.lit(CRLF),
+        F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1"), F.lit(f"{CRLF}Content-Type: text/html{CRLF}Content-Length: "),
+        F.when(kind == "revisit", 0).otherwise(F.col("n_bytes")).cast("string"), F.lit(CRLF),
     )
 
 
-def write_archive(pages: DataFrame, path: str, page: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Write the archive. The payload is shuffled once, after copies within a task have been put together."""
+def write_archive(pages: DataFrame, path: str, page: str = "page_id", url: str = "url", html: str = "html", date: str | None = None) -> None:
+    """Write the archive, dated now unless told otherwise. The payload is shuffled once, after copies within a task have been put together."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     own = pages.select(F.col(page).alias("page"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
     own = own.withColumn("digest", F.sha2("payload", 256))
-    own.groupBy("digest").agg(F.first("payload").alias("payload"), F.min("page").alias("owner")).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    first = F.min(F.struct(F.col("page").isNull().alias("none"), "page", "url"))
+    own.groupBy("digest").agg(F.first("payload").alias("payload"), first.alias("owner")).write.option("compression", "zstd").parquet(f"{path}/payloads")
     owners = pages.sparkSession.read.parquet(f"{path}/payloads").select(F.col("digest").alias("stored"), "owner")
     facts = own.select("page", "url", "digest", F.octet_length("payload").alias("n_bytes"), base32_sha1(F.col("payload")).alias("sha1"))
+    # equal rows are counted, and numbered by the count
+    facts = facts.groupBy("digest", "page", "url", "n_bytes", "sha1").agg(F.count("*").alias("n")).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     joined = facts.join(owners, F.col("digest") == F.col("stored"))
-    kind = F.when(F.col("page").eqNullSafe(F.col("owner")), "response").otherwise("revisit")
-    block = header(F.col("page"), F.col("url"), kind, F.col("n_bytes"), F.col("sha1"), F.col("digest"), F.col("owner"))
-    joined.select("digest", block.alias("header")).write.option("compression", "zstd").parquet(f"{path}/records")
+    joined.select("digest", header(date).alias("header")).write.option("compression", "zstd").parquet(f"{path}/records")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -82,14 +90,13 @@ def parse(records: DataFrame) -> DataFrame:
         base32_sha1(F.col("payload")).alias("payload_digest"),
         field(block, "WARC-Type").alias("record_type"),
         F.nullif(field(block, "X-Refers-To-Page"), F.lit("")).cast("long").alias("refers_to"),
-        (field(block, "Content-Length").cast("long") == F.octet_length("payload")).alias("length_agrees"),
+        (field(block, "Content-Length").cast("long") == F.when(field(block, "WARC-Type") == "revisit", 0).otherwise(F.octet_length("payload"))).alias("length_agrees"),
         (field(block, "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), base32_sha1(F.col("payload")))).alias("digest_agrees"),
     )
 
 
 def export(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Plain WARC files; a revisit's block is empty there, as its payload stands in the record it refers to."""
+    """Plain WARC files."""
     revisit = field(F.col("header"), "WARC-Type") == "revisit"
-    block = F.when(revisit, F.regexp_replace("header", r"\nContent-Length: \d+\r\n", "\nContent-Length: 0\r\n")).otherwise(F.col("header"))
-    whole = F.concat(F.encode(block, "UTF-8"), F.encode(F.lit(CRLF), "UTF-8"), F.when(revisit, F.lit(b"")).otherwise(F.col("payload")))
+    whole = F.concat(F.encode("header", "UTF-8"), F.encode(F.lit(CRLF), "UTF-8"), F.when(revisit, F.lit(b"")).otherwise(F.col("payload")))
     records.select(whole.cast("string").alias("value")).write.option("lineSep", CRLF * 2).option("compression", compression).text(path)

@@ -115,3 +115,34 @@ def test_warc_export(spark, tmp_path):
         assert rest[n : n + 4] == b"\r\n\r\n"
         data = rest[n + 4 :]
     assert sorted(records) == [(b"response", b"x\r\n\r\n"), (b"response", "ü".encode()), (b"revisit", b"")]
+
+
+def test_lines_are_judged_by_their_end(spark):
+    good = ["Title of four words", "One two three four five six.", 'He said: "one two three four five."', "One two three four. Five six seven. And it breaks off"]
+    bad = ["1. Home about us products contact imprint", "Home about us products contact imprint", "v2.1 one two three four five six seven", "Home | Shop | Help | Contact"]
+    df = spark.createDataFrame([(x, x in good) for x in good + bad], "line string, good boolean")
+    assert all(r.bad != r.good for r in df.withColumn("bad", quality.bad_line(F.col("line"))).collect())
+
+
+def test_chunks_of_a_long_text(spark, monkeypatch):
+    """Windows that cross the chunks' borders are found once."""
+    words = [f"w{i % 37}x{i % 11}" for i in range(400)]
+    items = [(1, " ".join(words[3:20])), (2, " ".join(words[60:71])), (3, "w5x5 w6x6"), (4, " ".join(words[390:400])), (5, "absent " * 12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:9])), (3, " ".join(words[:70])), (4, "")], "doc_id long, text string").selectExpr("*", "1 as base", "'p' as part", "2 as __hit")
+    want = sorted(((r.doc_id, *leaks(r.text, items)) for r in docs.collect()), key=str)
+    for size in (1, 2, 10, 64):
+        monkeypatch.setattr(decontam, "CHUNK", size)
+        assert report(decontam.contamination(docs, bench)) == want
+    assert decontam.decontaminate(docs, bench).columns == docs.columns
+
+
+def test_record_ids_are_unique(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (1, "v", "x"), (2, "u", "x"), (2, "u", "x"), (2, "u", "y"), (None, None, "y"), (None, None, "y")], "page_id long, url string, html string")
+    warc.write_archive(df, at := f"file://{tmp_path}/a", date="2020-02-02T00:00:00Z")
+    heads = [r.header for r in warc.read_archive(spark, at).collect()]
+    ids = [re.search(r"WARC-Record-ID: (\S+)", h)[1] for h in heads]
+    assert len(set(ids)) == len(heads) == 8
+    responses = {re.search(r"WARC-Record-ID: (\S+)", h)[1] for h in heads if "Type: response" in h}
+    assert all(re.search(r"WARC-Refers-To: (\S+)", h)[1] in responses for h in heads if "Type: revisit" in h)
+    assert all("WARC-Date: 2020-02-02T00:00:00Z\r\n" in h for h in heads)

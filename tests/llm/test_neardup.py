@@ -72,3 +72,21 @@ def test_edges(spark, edge_docs, no_docs):
     nulls = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (None, "x y z x y z")], "doc_id long, text string")
     got = neardup.near_duplicates(nulls).collect()
     assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str) == sorted([(None, 5, False), (5, 5, True), (None, None, True)], key=str)
+
+
+def test_small_blocks(spark, monkeypatch):
+    """Buckets dealt out to many blocks, by members and by shingles."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(900)}" for _ in range(60)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rng.choice((1, 2, 3))):
+            own[rng.randrange(len(own))] = f"v{rng.randrange(900)}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as __at", "2 as __NONE")
+    for block, shingles in ((7, 1 << 21), (1024, 90)):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
+        same(df, rows, 3, 85)
+    assert neardup.deduplicate(df, 3, 85).columns == df.columns

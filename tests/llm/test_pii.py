@@ -39,7 +39,7 @@ def test_formats(spark):
         (3, "Frau Petra Lang"), (4, "Herr Petra Lang"), (5, None), (6, ""), (7, "a" * 20000 + " 12 plain. The end of 3.14 and 1999-2004"), (2, "x.y9@mail2.example.com"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'mine' as kind", "1 as core")
-    out = pii.pseudonymise(df)
+    out = pii.pseudonymise(df, "a key")
     assert out.columns == ["doc_id", "text", "kind", "core", "n_entities"]
     got = out.collect()
     text = {(r.doc_id, (r.text or "")[:4]): r.text for r in got}
@@ -56,7 +56,7 @@ def test_formats(spark):
     assert f.split()[1].endswith("na") and m.split()[1].endswith("n") and f.split()[2] == m.split()[2]
     same = {r.doc_id: r for r in got if r.doc_id in (5, 6, 7)}
     assert same[5].text is None and same[6].text == "" and same[7].text == rows[7][1] and same[7].n_entities == 0
-    assert pii.pseudonymise(df.limit(0)).count() == 0
+    assert pii.pseudonymise(df.limit(0), "a key").count() == 0
 
 
 def test_collisions_are_derived_again(spark):
@@ -65,5 +65,68 @@ def test_collisions_are_derived_again(spark):
 
     names = spark.range(3000).selectExpr("'family' as kind", "concat('n', id) as canon")
     with Scratch(spark) as scratch:
-        got = pii.assign(names.union(names), scratch).collect()
+        got = pii.assign(names.union(names), scratch, "a key").collect()
     assert len(got) == 3000 and len({r.core for r in got}) == 3000
+
+
+def test_a_full_shape_is_widened(spark):
+    """Every address of single digits, and every email of two letters: no surrogate of the same length is free."""
+    import string
+
+    addresses = [f"{a}.{b}.{c}.{d}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
+    emails = [f"{a}@{b}.io" for a in string.ascii_lowercase for b in string.ascii_lowercase]
+    phones = [f"+1 {a:02d} {b:02d} 5" + "0" for a in range(100) for b in range(0, 100, 10)]
+    rows = [(i, " and ".join(x[i::40])) for i in range(40) for x in (addresses, emails, phones)]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "a key").collect()
+    inputs, mapping = sorted(rows), {}
+    by_first = {}
+    for r in got:
+        by_first.setdefault(r.doc_id, []).append(r.text)
+    for key, text in inputs:
+        before = text.split(" and ")
+        kind = EMAIL if "@" in text else IPV4 if "." in text else None
+        after = next(t for t in by_first[key] if ("@" in t) == ("@" in text) and ("+" in t) == ("+" in text)).split(" and ")
+        assert len(before) == len(after)
+        for a, b in zip(before, after, strict=True):
+            assert kind is None or kind.fullmatch(b), b
+            assert kind is not IPV4 or all(int(x) < 256 for x in b.split("."))
+            mapping[a] = b
+    assert len(mapping) == len(addresses) + len(emails) + len(phones)
+    assert len(set(mapping.values())) == len(mapping) and not set(mapping.values()) & set(mapping)
+
+
+def test_what_has_no_room_is_an_error(spark, monkeypatch):
+    import pytest
+
+    from galena.llm.common import Scratch
+
+    monkeypatch.setattr(pii, "surrogate", lambda kind, canon, *_: canon)
+    monkeypatch.setattr(pii, "ATTEMPTS", 3)
+    with Scratch(spark) as scratch, pytest.raises(RuntimeError, match="family.*5"):
+        pii.assign(spark.range(5).selectExpr("'family' as kind", "concat('n', id) as canon"), scratch, "a key")
+
+
+def test_clashing_names_and_keys(spark):
+    df = spark.createDataFrame([(1, "Ask a.b@example.com or 10.20.30.40", "x", 2, 3)], "doc_id long, text string, __row string, __Of int, __new int")
+    one, same, other = (pii.pseudonymise(df, k).first() for k in ("k1", "k1", "k2"))
+    assert (one["__row"], one["__Of"], one["__new"]) == ("x", 2, 3) and one.n_entities == 2
+    assert one.text == same.text != other.text
+    assert len(pii.session_key(spark)) == 64 and pii.session_key(spark) != pii.session_key(spark)
+
+
+def test_replacement_by_brute_force(spark):
+    """Each mention of an entity, found with plain patterns, is replaced, always by the same and by nothing another entity has; all else stays."""
+    import random
+
+    rng = random.Random(4)
+    entities = [f"{rng.choice('abcdef')}{i}@mail{i % 7}.example.org" for i in range(40)] + [f"{rng.randrange(1, 250)}.{i}.{rng.randrange(9)}.7" for i in range(40)]
+    texts = [" ".join(rng.choice([*entities, "plain", "words", "3.14", "x@", "12:30"]) for _ in range(30)) for _ in range(80)]
+    out = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "a key").collect()}
+    mapping = {}
+    for i, text in enumerate(texts):
+        before, after = text.split(" "), out[i].split(" ")
+        assert len(before) == len(after)
+        for a, b in zip(before, after, strict=True):
+            assert (a == b) == (a not in entities) and mapping.setdefault(a, b) == b
+    own = [b for a, b in mapping.items() if a in entities]
+    assert len(set(own)) == len(own) and not set(own) & set(entities)
