@@ -29,6 +29,7 @@ import re
 import sys
 import tempfile
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +47,13 @@ COUNTED = 1 << 19
 LONG = 512
 #: Fixed: the characters that are white space.
 BLANKS = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Where blanks and line feeds stand alone, words can be told by marking the borders with a character that the text doesn't hold.
+#: Where white space is blanks and line feeds that stand alone, words can be told by marking the borders with a character that the text doesn't hold.
 MARK = "\x00"
-RUNS = re.compile(f"[ \\n]{{2}}|[{BLANKS.replace(chr(92) + 'n', '').replace(' ', '')}{MARK}]")
+RUNS, OTHERS = ("  ", "\n\n", " \n", "\n "), re.compile(f"[{BLANKS.replace(chr(92) + 'n', '').replace(' ', '')}{MARK}]")
 WORDS = re.compile(f"[{BLANKS}]+(?![^{BLANKS}])| ?[^{BLANKS}]+|[{BLANKS}]+")
 #: Fixed: the pattern by which the vocabulary's byte-level pre-tokenizer splits text.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 SLICE_CHARS = 4 << 20
-RECENT_WORDS = 300_000
 
 
 def default_vocabulary() -> str:
@@ -64,17 +64,19 @@ def default_vocabulary() -> str:
 
 def words_of(text: str) -> list[str]:
     """The words of a text; put together they are the text."""
-    if RUNS.search(text):
+    if any(x in text for x in RUNS) or OTHERS.search(text):
         return WORDS.findall(text)
     return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split(MARK)
 
 
 @functools.lru_cache(maxsize=1)
-def unsettled() -> re.Pattern:
-    """Characters that are in no class yet by this Python's tables; the library's may be newer or older."""
-    free = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
-    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in edge.reshape(-1, 2).tolist()) + "]")
+def unassigned() -> np.ndarray:
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
+
+
+def unsettled(text: str) -> bool:
+    """Whether it has a character that is in no class yet by this Python's tables; the library's may be newer or older."""
+    return not text.isascii() and bool(unassigned()[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
 
 
 # -- the automaton ------------------------------------------------------------------------------------------------
@@ -333,67 +335,62 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.recent: dict[str, bytes] = {}  # merged words, at most RECENT_WORDS and those of a slice
         if odd := [t.content for t in self.library.get_added_tokens_decoder().values() if t.single_word or t.lstrip or t.rstrip]:
             raise ValueError(f"added tokens that take in their surroundings: {odd}")
         self.added = self.merger.added
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
 
     def pieces(self, word: str) -> list[str]:
-        if unsettled().search(word):
+        if unsettled(word):
             return [word[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(word)]
         return PIECES.findall(word)
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words in a row, and how many each has."""
-        data = [w.encode() for w in words]
-        rank = self.lexicon.ranks(data)
+        rank = self.lexicon.ranks([w.encode() for w in words])
         held = rank >= 0
-        counts = np.zeros(len(words), np.int64)
-        counts[held] = self.lexicon.id_from[rank[held] + 1] - self.lexicon.id_from[rank[held]]
         other = np.flatnonzero(~held)
-        unseen = [words[i] for i in other]
-        if len(self.recent) > RECENT_WORDS:
-            self.recent.clear()
-        self.merge([w for w in unseen if w not in self.recent])
-        merged = list(map(self.recent.__getitem__, unseen))
-        counts[other] = np.fromiter(map(len, merged), np.int64, len(merged)) // 4
+        merged, n = self.merge([words[i] for i in other])
+        counts, (begin, end) = np.empty(len(words), np.int64), (self.lexicon.id_from[rank[held] + k] for k in (0, 1))
+        counts[held], counts[other] = end - begin, n
         out, at = np.empty(int(counts.sum()), np.uint32), np.cumsum(counts) - counts
-        out[spread(at[held], counts[held])] = self.lexicon.ids[spread(self.lexicon.id_from[rank[held]], counts[held])]
-        out[spread(at[other], counts[other])] = np.frombuffer(b"".join(merged), np.uint32)
-        for w in unseen:
-            if len(w) > 64:
-                del self.recent[w]
+        out[spread(at[held], counts[held])] = self.lexicon.ids[spread(begin, end - begin)]
+        out[spread(at[other], n)] = merged
         return out, counts
 
-    def merge(self, words: list[str]) -> None:
-        """Put the ids of distinct words into recent, as bytes."""
-        odd = [not w.strip() or "\n" in w for w in words]
-        if unsettled().search("".join(words)):
-            odd = [x or unsettled().search(w) for x, w in zip(odd, words, strict=True)]
-        for w in [w for x, w in zip(odd, words, strict=True) if x]:
-            self.recent[w] = self.merger.encode([p.encode() for p in self.pieces(w)])[0].astype(np.uint32).tobytes()
-        words = [w for x, w in zip(odd, words, strict=True) if not x]
-        if not words:
-            return
-        tokens = PIECES.findall("\n".join(words))  # the line end is a piece of its own, for words hold none
-        number = dict.fromkeys(tokens)
-        for i, p in enumerate(number):
-            number[p] = i
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As words, without the lexicon. Words are cut into pieces together, but for those that can't stand in a row."""
+        odd = np.array([not w or w.isspace() or w in self.added for w in words], bool)
+        if unsettled("".join(words)):
+            odd |= np.array([unsettled(w) for w in words], bool)
+        plain, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
+        tokens = PIECES.findall("\n".join(words[i] for i in plain))  # the line end is a piece of its own, for words hold none
+        known = dict.fromkeys(tokens)
+        cut = {int(i): [] if words[i] in self.added else self.pieces(words[i]) for i in rest}
+        known.update(dict.fromkeys(chain.from_iterable(cut.values())))
+        number = dict(zip(known, range(len(known)), strict=True))
         end = number.setdefault("\n", len(number))
         ids, n = self.merger.encode([p.encode() for p in number])
         begin = np.cumsum(n) - n
         flat = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-        border = flat == end
-        of, flat = np.cumsum(border)[~border], flat[~border]
+        stop = flat == end
+        of, flat = plain[np.cumsum(stop)[~stop]] if len(plain) else plain, flat[~stop]
+        if len(rest):  # behind the others, then put in order
+            more = [(i, number[p]) for i, x in cut.items() for p in x]
+            of, flat = np.concatenate([of, [i for i, _ in more]]).astype(np.int64), np.concatenate([flat, [p for _, p in more]]).astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            of, flat = of[order], flat[order]
         counts = np.bincount(of, n[flat], len(words)).astype(np.int64)
-        data, ends = ids[spread(begin[flat], n[flat])].astype(np.uint32).tobytes(), (np.cumsum(counts) * 4).tolist()
-        for w, a, b in zip(words, [0, *ends], ends, strict=False):
-            self.recent[w] = data[a:b]
+        out = ids[spread(begin[flat], n[flat])].astype(np.uint32)
+        if single := [(i, self.added[words[i]]) for i in rest.tolist() if words[i] in self.added]:
+            at = [i for i, _ in single]
+            out = np.insert(out, (np.cumsum(counts) - counts)[at], np.array([x for _, x in single], np.uint32))
+            counts[at] = 1
+        return out, counts
 
     def parts(self, text: str) -> list[str]:
         """The words of a text and, as they are, its added tokens."""
-        if not self.special.search(text):
+        if not any(x in text for x in self.added):
             return words_of(text)
         out, at = [], 0
         for m in self.special.finditer(text):
@@ -404,14 +401,10 @@ class Encoder:
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         split = list(map(self.parts, texts))
-        number = dict.fromkeys(w for x in split for w in x)
-        for i, w in enumerate(number):
-            number[w] = i
-        for w, i in self.added.items():
-            if w in number:
-                self.recent[w] = np.array([i], np.uint32).tobytes()
+        number = dict.fromkeys(chain.from_iterable(split))
+        number = dict(zip(number, range(len(number)), strict=True))
         ids, counts = self.words(list(number))
-        flat = np.fromiter((n for x in split for n in map(number.__getitem__, x)), np.int64)
+        flat = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64)
         begin = np.cumsum(counts) - counts
         taken = ids[spread(begin[flat], counts[flat])] if len(flat) else ids[:0]
         ends = np.concatenate([[0], np.cumsum(counts[flat])])[np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)]
@@ -471,7 +464,7 @@ def frequent_words(docs: DataFrame, n: int, text: str = "text") -> list[str]:
 def build_lexicon(words: list[str], path: str) -> bytes:
     """The automaton of these words and their ids."""
     merger = Merger(path)
-    data = sorted({w.encode(): w for w in words if w and w not in merger.added and not unsettled().search(w)}.items())
+    data = sorted({w.encode(): w for w in words if w and w not in merger.added and not unsettled(w)}.items())
     pieces = [[p.encode() for p in PIECES.findall(w)] for _, w in data]
     ids, n = merger.encode([p for x in pieces for p in x])
     ends, out, at = np.cumsum(n), [], 0
