@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row: a lambda's argument is bound, an expression would be repeated."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -20,7 +25,8 @@ def norm(v: Column) -> Column:
 
 def normalized(v: Column, floor: float = 1e-12) -> Column:
     """Unit length; a zero vector stays zero."""
-    return F.transform(doubles(v), lambda x: x / F.greatest(norm(v), F.lit(floor)))
+    unit = lambda b: F.transform(b["v"], lambda x: x / b["n"])
+    return let(doubles(v), lambda d: let(F.struct(d.alias("v"), F.greatest(norm(d), F.lit(floor)).alias("n")), unit))
 
 
 def generalized_mean(v: Column, p: float, floor: float = 1e-6) -> Column:

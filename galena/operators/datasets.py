@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from galena.functions.text import hash_fraction
 
+from .evaluation import quantiles
+
 
 def first_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__n = 1").drop("__n")
@@ -60,9 +62,8 @@ def one_shot(df: DataFrame, label: str, pos: str) -> DataFrame:
 
 
 def halves(df: DataFrame, order: str) -> DataFrame:
-    """half: the first floor(n / 2) rows are noise, the others queries. The cut is a quantile of a unique order column."""
-    n = df.count()
-    cut = df.agg(F.percentile(order, (n // 2 - 1) / max(n - 1, 1))).first()[0] if n > 1 else None
+    """half: the first floor(n / 2) rows are noise, the others queries. The cut is the value at that place of a unique order column."""
+    cut = quantiles(df, order, {"cut": lambda n: F.floor(n / 2) - 1}).first()["cut"]  # one row
     return df.withColumn("half", F.when(F.lit(cut is not None) & (F.col(order) <= F.lit(cut)), "noise").otherwise("query"))
 
 
@@ -73,6 +74,18 @@ def differences(a: DataFrame, b: DataFrame, key: str = "key", value: str = "valu
     return left.join(right, F.col("ka") == F.col("kb"), "full").select(F.coalesce("ka", "kb").alias("key"), kind.alias("kind")).filter("kind is not null")
 
 
+def set_equality(full: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """missing, unknown, equal of the set of rows of full against the union of the parts: how many rows only the one has, and only the other."""
+    name = full.columns
+    union = parts[0].toDF(*name)
+    for p in parts[1:]:
+        union = union.unionByName(p.toDF(*name))
+    sides = full.select(*name, F.lit(1).alias("__a"), F.lit(0).alias("__b")).unionByName(union.select(*name, F.lit(0).alias("__a"), F.lit(1).alias("__b")))
+    rows = sides.groupBy(*name).agg(F.max("__a").alias("__a"), F.max("__b").alias("__b"))
+    out = rows.agg(F.count_if((F.col("__a") == 1) & (F.col("__b") == 0)).alias("missing"), F.count_if((F.col("__a") == 0) & (F.col("__b") == 1)).alias("unknown"))
+    return out.withColumn("equal", (F.col("missing") == 0) & (F.col("unknown") == 0))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
@@ -84,5 +97,7 @@ def fingerprint(config: Column) -> Column:
 
 
 def content_hash(df: DataFrame) -> DataFrame:
-    """n, digest of all rows in any order."""
-    return df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("digest"))
+    """n, digest of all rows in any order. Two numbers of 60 bits from each row's SHA-256 are added up, so that equal rows count as often as they occur."""
+    row = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}), 256)
+    part = lambda at: F.coalesce(F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string")
+    return df.agg(F.count("*").alias("n"), F.concat_ws("-", part(1), part(16)).alias("digest"))

@@ -17,18 +17,58 @@ def ratio(a: Column, b: Column) -> Column:
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
 
 
-def running_total(df: DataFrame, by: str, value: str, buckets: int = 64) -> DataFrame:
-    """df with before: the sum of value over rows with a smaller by. by must be unique. Ranges of by are summed apart and then put in order, so that
-    no task needs all rows."""
-    cuts = df.agg(F.percentile_approx(by, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+def running_total(df: DataFrame, by: str | list[str], value: str, groups: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
+    """df with before, the sum of value over rows of the group with a smaller by, and total, the group's sum. by must be unique in a group, and its first
+    column a number. Ranges of it are summed apart and then put in order, so that no task needs all rows, nor all of a group."""
+    by, groups = [by] if isinstance(by, str) else by, list(groups)
+    cuts = df.agg(F.percentile_approx(by[0], [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(by)))
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(by[0])))
     out = df.withColumn("__b", bucket)
-    sums = out.groupBy("__b").agg(F.sum(value).alias("s"))  # a row for each range
-    offset = sums.select(F.col("__b").alias("__o"), F.coalesce(F.sum("s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    within = F.coalesce(F.sum(value).over(Window.partitionBy("__b").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = out.withColumn("__w", within).join(F.broadcast(offset), F.col("__b") == F.col("__o"))  # at most ``buckets`` rows
-    return out.withColumn("before", F.col("__base") + F.col("__w")).drop("__b", "__w", "__o", "__base")
+    sums = out.groupBy(*groups, "__b").agg(F.sum(value).alias("s"))  # a row for each range of a group
+    per = Window.partitionBy(*groups)
+    offset = sums.select(
+        *(F.col(g).alias(f"__of_{g}") for g in groups), F.col("__b").alias("__o"),
+        F.coalesce(F.sum("s").over(per.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"), F.sum("s").over(per).alias("total"),
+    )
+    within = F.coalesce(F.sum(value).over(Window.partitionBy(*groups, "__b").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = F.col("__b") == F.col("__o")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"__of_{g}"))
+    out = out.withColumn("__w", within).join(offset if groups else F.broadcast(offset), same)  # without groups at most ``buckets`` rows
+    return out.withColumn("before", F.col("__base") + F.col("__w")).drop("__b", "__w", "__o", "__base", *(f"__of_{g}" for g in groups))
+
+
+def quantiles(df: DataFrame, value: str, at: dict, groups: tuple[str, ...] = ()) -> DataFrame:
+    """groups, n, lo, hi and a column for each name in at: the value at a place that is counted from 0 in ascending order, a function of the
+    number of values; between two places the values are interpolated. Exact, and no task gets a whole group. Nulls don't count."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("c"))
+    placed = running_total(counts, value, "c", groups)
+    n = F.col("total")
+
+    def picked(place):
+        """The value in the given whole place."""
+        return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("c")), F.col(value)))
+
+    def one(f):
+        place = f(n)
+        low = F.floor(place)
+        return picked(low), picked(F.ceil(place)), F.max(place - low)
+
+    parts = {name: one(f) for name, f in at.items()}
+    out = placed.groupBy(*groups).agg(F.max("total").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), *(p.alias(f"__{name}_{i}") for name, ps in parts.items() for i, p in enumerate(ps)))
+    between = lambda name: F.when(F.col(f"__{name}_2") == 0, F.col(f"__{name}_0")).otherwise(F.col(f"__{name}_0") + F.col(f"__{name}_2") * (F.col(f"__{name}_1") - F.col(f"__{name}_0")))
+    return out.select(*groups, "n", "lo", "hi", *(between(name).alias(name) for name in at))
+
+
+def quantile(p: float):
+    """The place of a quantile, linearly interpolated."""
+    return lambda n: (n - 1) * F.lit(p)
+
+
+def nearest_rank(part: int, of: int):
+    """The place n * part // of."""
+    return lambda n: F.floor(n * part / of)
 
 
 def auroc(signals: DataFrame) -> DataFrame:
@@ -41,15 +81,10 @@ def auroc(signals: DataFrame) -> DataFrame:
 
 def tpr_at_fpr(signals: DataFrame, fpr: float) -> DataFrame:
     """threshold, tpr: the share of positives strictly above the (1 - fpr) quantile of the negatives, linearly interpolated."""
-    limit = signals.filter("y = 0").agg(F.percentile("v", 1 - fpr).alias("threshold"))
+    limit = quantiles(signals.filter("y = 0"), "v", {"threshold": quantile(1 - fpr)}).select("threshold")
     return signals.filter("y = 1").crossJoin(F.broadcast(limit)).groupBy("threshold").agg(share(F.col("v") > F.col("threshold")).alias("tpr"))  # limit: one row
 
 
-def nearest_rank(values: Column, n: int, of: int) -> Column:
-    """sorted[len * n // of], as an aggregate of a group's values."""
-    return F.element_at(F.sort_array(F.collect_list(values)), (F.count(values) * n / of).cast("int") + 1)
-
-
 def recall_at(hits: DataFrame, queries: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     """recall_k columns over all queries (q); hits: q, rank, hit. A query without hits counts as missed."""
     per = hits.groupBy("q").agg(*(F.max((F.col("hit") & (F.col("rank") <= k)).cast("int")).alias(f"r{k}") for k in ks))

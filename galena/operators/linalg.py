@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.functions.vectors import normalized
+from galena.functions.vectors import dot, normalized
 
 
 def centroids(df: DataFrame, label: str, vec: str) -> DataFrame:
@@ -78,6 +78,22 @@ def project(df: DataFrame, vec: str, mean: np.ndarray, matrix: np.ndarray, out:
     return df.drop(out).mapInPandas(run, schema + f",{out}:array<double>")
 
 
+CENTRE_BYTES = 64 << 20
+
+
+def class_scores(rows: DataFrame, centres: DataFrame, max_broadcast_bytes: int = CENTRE_BYTES) -> DataFrame:
+    """q, label, cls, size, cos of each row (q, label, vec) with each class (cls, centre, size). Centres are sent to all tasks if their measured size allows; more of them
+    are dealt to blocks, and rows go to each block."""
+    facts = centres.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("centre")), F.lit(0)).alias("d")).first()
+    n = max(1, -(-facts.n * (facts.d * 8 + 64) // max_broadcast_bytes))
+    if n == 1:
+        pairs = rows.crossJoin(F.broadcast(centres))
+    else:
+        dealt = centres.withColumn("__block", F.pmod(F.xxhash64("cls"), F.lit(n)).cast("int"))
+        pairs = rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(dealt.hint("shuffle_hash"), "__block")
+    return pairs.select("q", "label", "cls", "size", dot(F.col("vec"), F.col("centre")).alias("cos"))
+
+
 def arcface(scores: DataFrame, scale: float, margin_a: float, margin_b: float, decay: float) -> DataFrame:
     """q, loss. scores: q, label, cls, cos, size (rows of the class): the best of a class' sub-centres counts, the target's angle gets a margin that
     shrinks with the size of its class, and the loss is the cross entropy of the scaled cosines."""

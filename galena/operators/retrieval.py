@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from galena.functions.vectors import dot
 from galena.session import prepared
 
-#: Queries of at most so many bytes are sent to all tasks as a matrix.
-BROADCAST_BYTES = 64 << 20
-BLOCK = 2048
+#: A block of vectors, in memory.
+BLOCK_BYTES = 16 << 20
+#: Scores that a task holds at once, and vectors of each side that make them.
+SCORES, QUERIES = 1 << 20, 512
 
 
 def best(df: DataFrame, k: int, by: str = "score", query: str = "q", tie: str = "g") -> DataFrame:
@@ -21,54 +22,76 @@ def best(df: DataFrame, k: int, by: str = "score", query: str = "q", tie: str =
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def vector_topk(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: bool = False, max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """q, g, score, rank: the k gallery rows (g, vec) of largest dot product for each query (q, vec).
-
-    The queries, if their measured size allows, are a matrix in each task; a task multiplies it with blocks of its part of the gallery and
-    keeps k rows a query, so that what is shuffled is k x queries x tasks however long the gallery is. More queries are
-    joined block by block of queries instead, each block with the same plan.
+def best_of(queries: np.ndarray, q: np.ndarray, gallery: np.ndarray, g: np.ndarray, k: int, exclude_self: bool):
+    """(q, g, score) of the k best gallery rows of each query, in bounded pieces of the table of scores."""
+    step = max(k, SCORES // QUERIES)
+    for a in range(0, len(q), QUERIES):
+        ids = q[a : a + QUERIES]
+        who, what, how = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for b in range(0, len(g), step):
+            own = g[b : b + step]
+            score = queries[a : a + QUERIES] @ gallery[b : b + step].T
+            if exclude_self:
+                score[ids[:, None] == own[None, :]] = -np.inf
+            # all that reach the k-th best of this piece, ties included
+            least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(ids), -np.inf)
+            row, column = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+            who, what, how = np.concatenate([who, row]), np.concatenate([what, own[column]]), np.concatenate([how, score[row, column]])
+            order = np.lexsort((what, -how, who))
+            who, what, how = who[order], what[order], how[order]
+            first = np.flatnonzero(np.concatenate([[True], np.diff(who) > 0])) if len(who) else np.empty(0, np.int64)
+            place = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
+            who, what, how = who[place < k], what[place < k], how[place < k]
+        yield ids[who], what, how
+
+
+def vector_topk(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """q, g, score, rank: the k gallery rows (g, vec) of largest dot product for each query (q, vec). Exact.
+
+    Both sides are dealt to blocks by a hash, and each pair of blocks meets in one task, which scores it piece by piece and keeps k rows a query. A task
+    holds two blocks, however long the tables are; what is shuffled is each side times the blocks of the other, and k x queries x blocks of the
+    gallery. Nothing passes through the driver but the two counts. Rows with a null id or vector are left out.
     """
-    facts = queries.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
-    n_blocks = max(1, -(-(facts["n"] * (facts["d"] or 0) * 8) // max_broadcast_bytes))
-    spark, out = prepared(queries.sparkSession), None
-    for i in range(n_blocks):
-        part = queries if n_blocks == 1 else queries.filter(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == i)
-        rows = part.select("q", "vec").toPandas()
-        matrix = np.array(rows.vec.tolist(), np.float64).reshape(len(rows), facts["d"] or 0)
-        sent = spark.sparkContext.broadcast((rows.q.to_numpy(np.int64), matrix))
-
-        def search(batches, sent=sent):
-            ids, matrix = sent.value
-            found: list = [np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)]
-            for pdf in batches if len(ids) else ():
-                for a in range(0, len(pdf), BLOCK):
-                    g = pdf.g.to_numpy(np.int64)[a : a + BLOCK]
-                    score = matrix @ np.array(pdf.vec.iloc[a : a + BLOCK].tolist(), np.float64).T
-                    if exclude_self:
-                        score[ids[:, None] == g[None, :]] = -np.inf
-                    score, g = np.concatenate([found[0], score], axis=1), np.concatenate([found[1], np.broadcast_to(g, score.shape)], axis=1)
-                    order = np.lexsort((g, -score), axis=1)[:, :k]
-                    found = [np.take_along_axis(score, order, 1), np.take_along_axis(g, order, 1)]
-            n = found[0].shape[1]
-            out = pd.DataFrame({"q": np.repeat(ids, n), "g": found[1].reshape(-1), "score": found[0].reshape(-1)})
-            yield out[out.score > -np.inf]
-
-        got = gallery.select("g", "vec").mapInPandas(search, "q long, g long, score double")
-        out = got if out is None else out.unionByName(got)
-    return best(out, k)
-
-
-def hybrid_topk(queries: DataFrame, gallery: DataFrame, spaces: list[str], k: int) -> DataFrame:
-    """q, g, score, rank and a column for each space: the best of every space are pooled, cosines that are missing are computed, and the score
-    is the mean over the spaces. queries: q and a vector column for each space; gallery: g and the same."""
-    pool = None
+    prepared(queries.sparkSession)
+    queries, gallery = (x.select(n, "vec").filter(f"{n} is not null and vec is not null") for x, n in ((queries, "q"), (gallery, "g")))
+    facts = [x.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("d")).first() for x in (queries, gallery)]
+    tasks = queries.sparkSession.sparkContext.defaultParallelism
+    n_q, n_g = (max(1, -(-f.n * f.d * 8 // block_bytes)) for f in facts)
+    n_g = max(n_g, min(-(-tasks // n_q), -(-facts[1].n // 4096)))  # small tables too are worth more than one task
+    block = lambda n, name: F.pmod(F.xxhash64(name, "vec"), F.lit(n))
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("q", F.col("vec").cast("array<double>").alias("vec"), block(n_q, "q").cast("int").alias("i"), all_(n_g).alias("j"))
+    right = gallery.select("g", F.col("vec").cast("array<double>").alias("vec"), all_(n_q).alias("i"), block(n_g, "g").cast("int").alias("j"))
+
+    def search(a, b):
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if len(a) and len(b):
+            found += best_of(np.stack(a.vec.to_list()), a.q.to_numpy(np.int64), np.stack(b.vec.to_list()), b.g.to_numpy(np.int64), k, exclude_self)
+        return pd.DataFrame(dict(zip(("q", "g", "score"), (np.concatenate(x) for x in zip(*found, strict=True)), strict=True)))
+
+    return best(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(search, "q long, g long, score double"), k)
+
+
+def merged_lists(queries: DataFrame, gallery: DataFrame, spaces: list[str], k: int, exclude_self: bool = False) -> DataFrame:
+    """q, g and the score in each space of all that is among the k best of some space: the lists are joined in full, and only the scores that a
+    pair lacks are computed. queries: q and a vector column for each space; gallery: g and the same."""
+    merged = None
+    for s in spaces:
+        found = vector_topk(queries.select("q", F.col(s).alias("vec")), gallery.select("g", F.col(s).alias("vec")), k, exclude_self).select("q", "g", F.col("score").alias(s))
+        merged = found if merged is None else merged.join(found, ["q", "g"], "full")
+    whole = F.lit(True)
     for s in spaces:
-        found = vector_topk(queries.select("q", F.col(s).alias("vec")), gallery.select("g", F.col(s).alias("vec")), k).select("q", "g")
-        pool = found if pool is None else pool.unionByName(found)
+        whole = whole & F.col(s).isNotNull()
     left = queries.select("q", *(F.col(s).alias(f"q_{s}") for s in spaces))
     right = gallery.select("g", *(F.col(s).alias(f"g_{s}") for s in spaces))
-    scored = pool.distinct().join(left, "q").join(right, "g").select("q", "g", *(dot(F.col(f"q_{s}"), F.col(f"g_{s}")).alias(s) for s in spaces))
-    return best(scored.withColumn("score", sum(F.col(s) for s in spaces) / len(spaces)), k)
+    filled = merged.filter(~whole).join(left, "q").join(right, "g").select("q", "g", *(F.coalesce(s, dot(F.col(f"q_{s}"), F.col(f"g_{s}"))).alias(s) for s in spaces))
+    return merged.filter(whole).select("q", "g", *spaces).unionByName(filled)
+
+
+def hybrid_topk(queries: DataFrame, gallery: DataFrame, spaces: list[str], k: int, exclude_self: bool = False) -> DataFrame:
+    """q, g, score, rank and a column for each space: the k best of the merged lists by the mean over the spaces."""
+    merged = merged_lists(queries, gallery, spaces, k, exclude_self)
+    return best(merged.withColumn("score", sum(F.col(s) for s in spaces) / len(spaces)), k)
 
 
 def accepted_or_rejected(queries: DataFrame, hits: DataFrame, threshold: float) -> DataFrame:
@@ -98,11 +121,12 @@ def kept_groups(groups: DataFrame, threshold: float, margin: float | None) -> Da
     return groups.withColumn("top", top).filter((F.col("gscore") >= threshold) & near).drop("top")
 
 
-def expanded(kept: DataFrame, hits: DataFrame, members: DataFrame) -> DataFrame:
+def expanded(kept: DataFrame, hits: DataFrame, members: DataFrame, exclude_self: bool = False) -> DataFrame:
     """q, grp, g, score, retrieved, place: all members (g, grp) of the kept groups. Members that weren't retrieved stand behind the others,
     with their group's score."""
     found = hits.select("q", "g", F.col("score").alias("hit"))
-    out = kept.join(members.select("g", "grp"), "grp").join(found, ["q", "g"], "left")
+    out = kept.join(members.select("g", "grp"), "grp")
+    out = (out.filter("q <> g") if exclude_self else out).join(found, ["q", "g"], "left")
     order = Window.partitionBy("q").orderBy("grank", F.desc(F.col("hit").isNotNull()), F.desc("hit"), "g")
     out = out.select("q", "grp", "g", F.coalesce("hit", "gscore").alias("score"), F.col("hit").isNotNull().alias("retrieved"), "grank", "hit")
     return out.withColumn("place", F.row_number().over(order)).drop("grank", "hit")

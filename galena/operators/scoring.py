@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluation import running_total
+
 
 def relative_features(df: DataFrame, image: str, conf: str, area: str, tie: list[str], strong: float = 0.7) -> DataFrame:
     """conf_rel, area_rel, rank_rel (place by confidence from 0, over the number), n, n_strong."""
@@ -18,14 +20,20 @@ def relative_features(df: DataFrame, image: str, conf: str, area: str, tie: list
 
 
 def crowd(df: DataFrame, image: str, key: list[str], conf: str, area: str, least: float = 0.5, low: float = 0.5, high: float = 2.0) -> DataFrame:
-    """key, crowd: how many other confident candidates of the image are of similar area."""
-    other = df.filter(F.col(conf) >= least).select(F.col(image).alias("i"), *(F.col(c).alias(f"o_{c}") for c in key), F.col(area).alias("o_area"))
-    differs = F.lit(False)
-    for c in key:
-        differs = differs | ~F.col(c).eqNullSafe(F.col(f"o_{c}"))
-    near = (F.col("o_area") >= low * F.col(area)) & (F.col("o_area") <= high * F.col(area))
-    joined = df.join(other, (F.col(image) == F.col("i")) & differs & near, "left")
-    return joined.groupBy(image, *key).agg(F.count("o_area").alias("crowd"))
+    """key, crowd: how many other confident candidates of the image are of similar area; key tells the candidates of an image apart. Counted as the difference
+    of two running counts over areas, not by pairs, so an image may have any number of candidates."""
+    sure = (F.col(conf) >= least) & F.col(area).isNotNull()
+    own = df.select(F.col(image).alias("img"), F.struct(*key).alias("who"), F.coalesce(sure, F.lit(False)).cast("long").alias("sure"), F.col(area).alias("area"))
+    # the candidate itself, and the ends of its range: areas below the one and up to the other count
+    marks = F.array(*(F.struct(v.alias("at"), F.lit(o).alias("kind")) for v, o in ((F.col("area"), 1), (F.col("area") * low, 0), (F.col("area") * high, 2))))
+    events = own.filter("area is not null").select("img", "who", "sure", F.inline(marks))
+    counts = events.groupBy("img", "at", "kind").agg(F.sum(F.when(F.col("kind") == 1, F.col("sure")).otherwise(0)).alias("n"))
+    placed = running_total(counts, ["at", "kind"], "n", ("img",)).select(F.col("img").alias("i"), F.col("at").alias("a"), F.col("kind").alias("k"), "before")
+    seen = events.filter("kind <> 1").join(placed, F.col("img").eqNullSafe(F.col("i")) & (F.col("at") == F.col("a")) & (F.col("kind") == F.col("k")))
+    ends = lambda k: F.max(F.when(F.col("kind") == k, F.col("before")))
+    near = seen.groupBy("img", "who").agg((ends(2) - ends(0)).alias("near")).withColumnsRenamed({"img": "of", "who": "whose"})
+    out = own.join(near, F.col("img").eqNullSafe(F.col("of")) & F.col("who").eqNullSafe(F.col("whose")), "left")
+    return out.select(F.col("img").alias(image), *(F.col("who")[c].alias(c) for c in key), (F.coalesce("near", F.lit(0)) - F.col("sure")).alias("crowd"))
 
 
 def logistic(features: list[Column], mean: list[float], std: list[float], coef: list[float], intercept: float) -> Column:

@@ -51,40 +51,40 @@ def spaces(spark, sf_dir) -> DataFrame:
 
 
 def hybrid(spark, sf_dir, k=10):
-    """Queries (every tenth vector), gallery (the rest) and fused hits with their group."""
+    """Queries and gallery, which are all vectors, and fused hits with their group: each vector asks all others."""
     s = spaces(spark, sf_dir)
-    queries, gallery = as_queries(s.filter("g % 10 = 0")), s.filter("g % 10 <> 0")
-    hits = retrieval.hybrid_topk(queries, gallery, ["crop", "box"], k).join(gallery.select("g", "grp"), "g")
-    return queries, gallery, hits
+    hits = retrieval.hybrid_topk(as_queries(s), s, ["crop", "box"], k, exclude_self=True).join(s.select("g", "grp"), "g")
+    return as_queries(s), s, hits
 
 
 TAU, MARGIN = 0.33, 0.07
 HYBRID = """u AS (SELECT vec_id, vec_id % 37 grp, label, CAST(embedding AS DOUBLE[])[1:32] a, CAST(embedding AS DOUBLE[])[33:64] b FROM embeddings),
-s AS (SELECT vec_id, grp, label, list_transform(a, lambda x: x / sqrt(list_dot_product(a, a))) c, list_transform(b, lambda x: x / sqrt(list_dot_product(b, b))) d FROM u),
-sim AS (SELECT x.vec_id q, y.vec_id g, y.grp, list_dot_product(x.c, y.c) sc, list_dot_product(x.d, y.d) sd FROM s x JOIN s y ON x.vec_id % 10 = 0 AND y.vec_id % 10 <> 0),
+s AS MATERIALIZED (SELECT vec_id, grp, label, list_transform(a, lambda x: x / sqrt(list_dot_product(a, a))) c, list_transform(b, lambda x: x / sqrt(list_dot_product(b, b))) d FROM u),
+sim AS MATERIALIZED (SELECT x.vec_id q, y.vec_id g, y.grp, list_dot_product(x.c, y.c) sc, list_dot_product(x.d, y.d) sd FROM s x JOIN s y ON x.vec_id <> y.vec_id),
 pool AS ((SELECT q, g FROM sim QUALIFY row_number() OVER (PARTITION BY q ORDER BY sc DESC, g) <= 10) UNION (SELECT q, g FROM sim QUALIFY row_number() OVER (PARTITION BY q ORDER BY sd DESC, g) <= 10)),
 hits AS (SELECT q, g, grp, sc, sd, (sc + sd) / 2 s, row_number() OVER (PARTITION BY q ORDER BY (sc + sd) / 2 DESC, g) rk FROM sim JOIN pool USING (q, g) QUALIFY rk <= 10),
-qs AS (SELECT vec_id q FROM s WHERE vec_id % 10 = 0)"""
+qs AS (SELECT vec_id q FROM s)"""
 GROUPS = HYBRID + f""",
 gs AS (SELECT q, grp, max(s) gscore FROM hits GROUP BY q, grp),
 gr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY gscore DESC, grp) grank FROM gs QUALIFY grank <= 5),
 kept AS (SELECT q, grp, gscore, grank FROM (SELECT *, max(gscore) OVER (PARTITION BY q) top FROM gr) WHERE gscore >= {TAU} AND gscore >= top - {MARGIN}),
 cand AS (SELECT k.q, k.grp, m.vec_id g, coalesce(h.s, k.gscore) score, h.s IS NOT NULL retrieved,
   row_number() OVER (PARTITION BY k.q ORDER BY k.grank, (h.s IS NOT NULL) DESC, h.s DESC, m.vec_id) place
-  FROM kept k JOIN s m ON m.grp = k.grp AND m.vec_id % 10 <> 0 LEFT JOIN hits h ON h.q = k.q AND h.g = m.vec_id)"""
+  FROM kept k JOIN s m ON m.grp = k.grp AND m.vec_id <> k.q LEFT JOIN hits h ON h.q = k.q AND h.g = m.vec_id)"""
 
 
 def candidates(spark, sf_dir):
     queries, gallery, hits = hybrid(spark, sf_dir)
     kept = retrieval.kept_groups(retrieval.group_scores(hits), TAU, MARGIN)
-    return queries, retrieval.expanded(kept, hits, gallery)
+    return queries, retrieval.expanded(kept, hits, gallery, exclude_self=True)
 
 
 def answers(spark, sf_dir) -> DataFrame:
-    """img, slug, indexed, top1, score, answer: label 9 has no answer, label 8 isn't in the gallery."""
+    """img, slug, indexed, top1, score, answer: each vector asks all others of the gallery. What the cohorts need: label 9 has no
+    answer, and label 8 has one that isn't in the gallery, which holds labels 0 to 7."""
     e = embeddings(spark, sf_dir)
-    queries, gallery = as_queries(e.filter("g % 10 = 0")), e.filter("g % 10 <> 0 and label < 8")
-    hits = retrieval.vector_topk(queries, gallery, 5).join(gallery.select("g", F.col("label").alias("gl")), "g")
+    queries, gallery = as_queries(e), e.filter("label < 8")
+    hits = retrieval.vector_topk(queries, gallery, 5, exclude_self=True).join(gallery.select("g", F.col("label").alias("gl")), "g")
     top = hits.groupBy("q").agg(F.min_by("gl", "rank").alias("top1"), F.max("score").alias("score"))
     ranks = hits.join(queries.select("q", "label"), "q").filter("gl = label").groupBy("q").agg(F.min("rank").alias("rank_of"))
     out = queries.join(top, "q").join(ranks, "q", "left")
@@ -94,6 +94,6 @@ def answers(spark, sf_dir) -> DataFrame:
 
 ANSWERS = f"""e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) v FROM embeddings),
 h AS (SELECT a.vec_id q, a.label ql, b.label gl, list_dot_product(a.v, b.v) s, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id) rk
-  FROM e a JOIN e b ON a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0 AND b.label < 8 QUALIFY rk <= 5),
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id AND b.label < 8 QUALIFY rk <= 5),
 ans AS (SELECT q img, CASE WHEN ql < 9 THEN ql END slug, ql <> 8 indexed, min(CASE WHEN rk = 1 THEN gl END) top1, max(s) score, min(CASE WHEN gl = ql THEN rk END) rank_of,
   CASE WHEN max(s) >= {TAU} THEN min(CASE WHEN rk = 1 THEN gl END) END answer FROM h GROUP BY q, ql)"""

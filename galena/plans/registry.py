@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from . import relational, retrieval  # noqa: E402, F401
+from . import relational, retrieval, stateful  # noqa: E402, F401

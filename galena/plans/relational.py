@@ -71,9 +71,9 @@ def s9(spark, sf):
     return e.select("event_id", big(F.col("value")).alias("value"), "key")
 
 
-@query("S10_wanted_rows", "SELECT doc_id, quality IS NOT NULL AS found FROM (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) LEFT JOIN labels USING (doc_id)")
+@query("S10_wanted_rows", "SELECT doc_id, quality IS NOT NULL AS found FROM documents LEFT JOIN labels USING (doc_id)")
 def s10(spark, sf):
-    got, missing = tables.wanted_lines(t(spark, sf, "labels"), t(spark, sf, "documents").filter("doc_id % 3 = 0").select("doc_id"), "doc_id")
+    got, missing = tables.wanted_lines(t(spark, sf, "labels"), t(spark, sf, "documents").select("doc_id"), "doc_id")
     return got.select("doc_id", F.lit(True).alias("found")).unionByName(missing.select("doc_id", F.lit(False).alias("found")))
 
 
@@ -83,11 +83,6 @@ def s11(spark, sf):
     return lists.select("img", big(F.element_at("c", 1)).alias("first"))
 
 
-@query("S12_paged_listing", "SELECT DISTINCT p_name AS code FROM part ORDER BY code LIMIT 40")
-def s12(spark, sf):
-    return t(spark, sf, "part").select(F.col("p_name").alias("code")).dropDuplicates(["code"]).orderBy("code").limit(40)
-
-
 @query("S13_image_jobs", "SELECT p_partkey, kind, url FROM (SELECT p_partkey, 'front' AS kind, CASE WHEN p_size % 2 = 0 THEN p_name END AS url FROM part UNION ALL SELECT p_partkey, 'back', p_brand FROM part UNION ALL SELECT p_partkey, 'label', CASE WHEN p_size % 3 = 0 THEN p_type END FROM part) WHERE url IS NOT NULL")
 def s13(spark, sf):
     p = t(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("front"), F.col("p_brand").alias("back"), F.when(F.col("p_size") % 3 == 0, F.col("p_type")).alias("label"))
@@ -99,9 +94,9 @@ def s14(spark, sf):
     return t(spark, sf, "part").select(F.col("p_brand").alias("slug")).distinct()
 
 
-@query("S15_point_lookup", "SELECT vec_id AS g, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings WHERE vec_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 9 = 0)")
+@query("S15_point_lookup", "SELECT vec_id AS g, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings WHERE vec_id IN (SELECT c_custkey FROM customer)")
 def s15(spark, sf):
-    wanted = t(spark, sf, "customer").filter("c_custkey % 9 = 0").select(F.col("c_custkey").alias("g"))
+    wanted = t(spark, sf, "customer").select(F.col("c_custkey").alias("g"))
     return embeddings(spark, sf).join(wanted, "g", "left_semi").select("g", r6(vec.norm(vec.normalized(F.col("vec")))).alias("norm"))
 
 
@@ -113,18 +108,6 @@ def s16(spark, sf):
     return tables.upserted(c, new, "k", "n")
 
 
-@query("S18_resume", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def s18(spark, sf):
-    return t(spark, sf, "documents").select("doc_id").join(t(spark, sf, "labels"), "doc_id", "left_anti")
-
-
-@query("S19_snapshot_hash", "SELECT count(*) AS n, true AS same FROM orders")
-def s19(spark, sf):
-    o = t(spark, sf, "orders")
-    a, b = datasets.content_hash(o), datasets.content_hash(o.orderBy("o_custkey")).withColumnRenamed("digest", "other").drop("n")
-    return a.crossJoin(b).select("n", (F.col("digest") == F.col("other")).alias("same"))  # one row each
-
-
 @query("S23_failing_rows", "SELECT l_orderkey AS img, CASE WHEN l_orderkey % 50 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN l_orderkey % 50 <> 0 THEN l_orderkey * 2 END AS twice FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
 def s23(spark, sf):
     def work(row):
@@ -358,10 +341,10 @@ def j3(spark, sf):
     return d.join(a, "doc_id", "left").join(b, "doc_id", "left").select("doc_id", F.coalesce("a", "b", F.lit("open")).alias("status"))
 
 
-@query("J4_membership_expansion", "SELECT s.s_suppkey, c.c_custkey FROM supplier s JOIN customer c ON s_nationkey = c_nationkey WHERE s_suppkey % 10 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0)")
+@query("J4_membership_expansion", "SELECT s.s_suppkey, c.c_custkey FROM supplier s JOIN customer c ON s_nationkey = c_nationkey WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def j4(spark, sf):
-    s, c = t(spark, sf, "supplier").filter("s_suppkey % 10 = 0"), t(spark, sf, "customer")
-    hits = t(spark, sf, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    s, c = t(spark, sf, "supplier"), t(spark, sf, "customer")
+    hits = t(spark, sf, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
     return s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", "c_custkey").join(hits, "c_custkey", "left_anti").select("s_suppkey", "c_custkey")
 
 
@@ -375,9 +358,9 @@ def j8(spark, sf):
     return t(spark, sf, "documents").select("doc_id", "source").join(t(spark, sf, "labels").filter("quality = 1"), "doc_id", "left_semi")
 
 
-@query("J9_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("J9_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def j9(spark, sf):
-    return t(spark, sf, "customer").select("c_custkey").join(t(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return t(spark, sf, "customer").select("c_custkey").join(t(spark, sf, "orders").filter("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("J11_card_lookup", "SELECT o_orderkey, c_name, c_nationkey = n_nationkey AS agrees FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
@@ -403,10 +386,10 @@ def j13(spark, sf):
     return catalog.same_group(t(spark, sf, "part"), "p_partkey", "p_brand", "p_partkey").withColumn("rank", big(F.col("rank")))
 
 
-@query("J14_aligned_pairs", "WITH a AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) v FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) w FROM embeddings WHERE vec_id % 3 = 0) SELECT vec_id AS g, round(list_dot_product(v, w), 6) AS cos FROM a JOIN b USING (vec_id)")
+@query("J14_aligned_pairs", "WITH a AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) v FROM embeddings), b AS (SELECT vec_id + 7 vec_id, CAST(embedding AS DOUBLE[]) w FROM embeddings) SELECT vec_id AS g, round(list_dot_product(v, w), 6) AS cos FROM a JOIN b USING (vec_id)")
 def j14(spark, sf):
     e = embeddings(spark, sf)
-    a, b = e.filter("g % 2 = 0").select("g", F.col("vec").alias("v")), e.filter("g % 3 = 0").select("g", F.col("vec").alias("w"))
+    a, b = e.select("g", F.col("vec").alias("v")), e.select((F.col("g") + 7).alias("g"), F.col("vec").alias("w"))
     return a.join(b, "g").select("g", r6(vec.dot(F.col("v"), F.col("w"))).alias("cos"))
 
 
@@ -421,13 +404,14 @@ def j15(spark, sf):
 
 @query("G3_quantile_summary", "SELECT event_type, count(*) AS n, min(value) AS lo, list_sort(list(value))[count(*) // 10 + 1] AS p10, median(value) AS mid, max(value) AS hi FROM events GROUP BY event_type")
 def g3(spark, sf):
-    return t(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("lo"), evaluation.nearest_rank(F.col("value"), 1, 10).alias("p10"), F.median("value").alias("mid"), F.max("value").alias("hi"))
+    return evaluation.quantiles(t(spark, sf, "events"), "value", {"p10": evaluation.nearest_rank(1, 10), "mid": evaluation.quantile(0.5)}, ("event_type",))
 
 
 @query("G6_latency_percentiles", "SELECT o_orderstatus AS status, count(*) AS n, median(o_totalprice) AS p50, list_sort(list(o_totalprice))[CAST(floor(0.9 * (count(*) - 1)) AS INT) + 1] AS p90 FROM orders GROUP BY 1")
 def g6(spark, sf):
-    sorted_ = F.sort_array(F.collect_list("o_totalprice"))
-    return t(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.median("o_totalprice").alias("p50"), F.element_at(sorted_, F.floor((F.count("*") - 1) * 0.9).cast("int") + 1).alias("p90"))
+    places = {"p50": evaluation.quantile(0.5), "p90": lambda n: F.floor((n - 1) * 0.9)}
+    out = evaluation.quantiles(t(spark, sf, "orders"), "o_totalprice", places, ("o_orderstatus",))
+    return out.select(F.col("o_orderstatus").alias("status"), "n", "p50", "p90")
 
 
 def scored(spark, sf):
@@ -620,12 +604,24 @@ def u1(spark, sf):
     return datasets.first_wins(t(spark, sf, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", F.col("o_orderkey").alias("first"))
 
 
-@query("U2_set_equality", "SELECT true AS equal")
+@query("U2_set_equality", """WITH d AS (SELECT doc_id, source FROM documents), l AS (SELECT doc_id, quality FROM labels), c(name, missing, unknown) AS (
+SELECT 'labels', (SELECT count(*) FROM l WHERE quality NOT IN (0, 1)), 0 UNION ALL
+SELECT 'documents', (SELECT count(*) FROM d WHERE doc_id NOT IN (SELECT doc_id FROM l)), (SELECT count(*) FROM l WHERE doc_id NOT IN (SELECT doc_id FROM d)) UNION ALL
+SELECT 'customers', (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)), (SELECT count(*) FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)))
+SELECT name, CAST(missing AS BIGINT) AS missing, CAST(unknown AS BIGINT) AS unknown, missing = 0 AND unknown = 0 AS equal FROM c""")
 def u2(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id")
-    parts = d.filter("doc_id % 3 = 0").unionByName(d.filter("doc_id % 3 <> 0"))
-    missing = d.exceptAll(parts).unionByName(parts.exceptAll(d))
-    return missing.agg((F.count("*") == 0).alias("equal"))
+    """Each table with what should make it up: labels of both kinds, documents with a label, customers that are suppliers."""
+    d, lab = t(spark, sf, "documents").select("doc_id"), t(spark, sf, "labels")
+    ids = lambda df: df.select("doc_id")
+    cases = {
+        "labels": (ids(lab), [ids(lab.filter("quality = 1")), ids(lab.filter("quality = 0"))]), "documents": (d, [ids(lab)]),
+        "customers": (t(spark, sf, "customer").select("c_custkey"), [t(spark, sf, "supplier").select("s_suppkey")]),
+    }
+    out = None
+    for name, (full, parts) in cases.items():
+        one = datasets.set_equality(full, parts).select(F.lit(name).alias("name"), "missing", "unknown", "equal")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("U3_movements", "SELECT doc_id, CASE WHEN quality IS NULL THEN 'to_extra' ELSE 'to_train' END AS move FROM documents LEFT JOIN labels USING (doc_id) WHERE (doc_id % 2 = 0) = (quality IS NULL)")
@@ -666,7 +662,7 @@ def f1(spark, sf):
     return e.join(b, "g").select("g", r6(vec.dot(F.col("vec"), F.col("w"))).alias("cos"))
 
 
-@query("F2_normalized", "SELECT vec_id AS g, round(embedding[1] * 3 / sqrt(list_dot_product(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3), list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3))), 6) AS x FROM embeddings")
+@query("F2_normalized", "SELECT vec_id AS g, round(CAST(embedding[1] AS DOUBLE) * 3 / sqrt(list_dot_product(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3), list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3))), 6) AS x FROM embeddings")
 def f2(spark, sf):
     return embeddings(spark, sf).select("g", r6(F.element_at(vec.normalized(F.transform(vec.doubles(F.col("vec")), lambda x: x * 3)), 1)).alias("x"))
 
@@ -758,7 +754,7 @@ def f15(spark, sf):
 @query("F16_band_fill", "WITH q AS (SELECT event_type, quantile_cont(value, 0.05) a, quantile_cont(value, 0.95) b FROM events GROUP BY 1) SELECT event_type, round(avg(CASE WHEN value BETWEEN a AND b THEN 1.0 ELSE 0.0 END), 6) AS fill FROM events JOIN q USING (event_type) GROUP BY 1")
 def f16(spark, sf):
     e = t(spark, sf, "events")
-    q = e.groupBy("event_type").agg(F.percentile("value", 0.05).alias("a"), F.percentile("value", 0.95).alias("b"))
+    q = evaluation.quantiles(e, "value", {"a": evaluation.quantile(0.05), "b": evaluation.quantile(0.95)}, ("event_type",))
     return e.join(q, "event_type").groupBy("event_type").agg(r6(evaluation.share(F.col("value").between(F.col("a"), F.col("b")))).alias("fill"))
 
 
@@ -821,9 +817,8 @@ z AS (SELECT q, label = cls own, 16 * CASE WHEN label = cls THEN cos(acos(least(
 SELECT q, round(ln(sum(exp(z))) - max(CASE WHEN own THEN z END), 6) AS loss FROM z GROUP BY q""")
 def f28(spark, sf):
     e = embeddings(spark, sf)
-    cls = linalg.centroids(e, "label", "vec").join(e.groupBy("label").agg(F.count("*").alias("size")), "label").select(F.col("label").alias("cls"), "centroid", "size")
-    pairs = e.crossJoin(F.broadcast(cls))  # as many rows as there are classes
-    scores = pairs.select(F.col("g").alias("q"), "label", "cls", "size", vec.dot(F.col("vec"), F.col("centroid")).alias("cos"))
+    cls = linalg.centroids(e, "label", "vec").join(e.groupBy("label").agg(F.count("*").alias("size")), "label").select(F.col("label").alias("cls"), F.col("centroid").alias("centre"), "size")
+    scores = linalg.class_scores(e.withColumnRenamed("g", "q"), cls)
     return linalg.arcface(scores, 16.0, 0.5, 0.1, 0.25).select("q", r6("loss").alias("loss"))
 
 
@@ -873,12 +868,6 @@ def r5(spark, sf):
     return t(spark, sf, "part").select(F.col("p_brand").alias("v")).unionByName(spark.createDataFrame([("unknown",)], "v string")).distinct()
 
 
-@query("T1_serial_turns", "WITH o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) n FROM conversations) SELECT conv_id, count(*) - 1 AS asks, string_agg(role, '>' ORDER BY turn) AS path FROM o GROUP BY conv_id")
-def t1(spark, sf):
-    h = sessions.histories(t(spark, sf, "conversations"))
-    return h.select("conv_id", big(F.size("messages") - 1).alias("asks"), F.array_join(F.transform("messages", lambda m: m["role"]), ">").alias("path"))
-
-
 @query("T2_history", "SELECT conv_id, string_agg(role || ':' || text, '|' ORDER BY turn) AS history FROM conversations GROUP BY conv_id")
 def t2(spark, sf):
     h = sessions.histories(t(spark, sf, "conversations"))
@@ -898,22 +887,6 @@ def t5(spark, sf):
 # -- further forms of operators above -----------------------------------------------------------------------------
 
 
-@query("S2_text_source", "SELECT count(*) AS lines FROM (SELECT unnest(string_split(text, chr(10))) FROM documents)")
-def s2(spark, sf):
-    return t(spark, sf, "documents").select(F.explode(F.split("text", "\n"))).agg(F.count("*").alias("lines"))
-
-
-@query("S4_test_labels", "SELECT o_orderkey AS image, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS slug FROM orders")
-def s4(spark, sf):
-    raw = t(spark, sf, "orders").select(F.col("o_orderkey").alias("image"), F.when(F.col("o_orderstatus") == "P", "  ").otherwise(F.col("o_orderpriority")).alias("slug"))
-    return raw.select("image", F.nullif(F.trim("slug"), F.lit("")).alias("slug"))
-
-
-@query("S21_session_store", "SELECT conv_id, count(*) AS turns, CAST(count(DISTINCT turn) AS BIGINT) AS places FROM conversations GROUP BY conv_id")
-def s21(spark, sf):
-    return t(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.countDistinct("turn").alias("places"))
-
-
 @query("A13_largest_target", f"WITH {IMAGES} SELECT img, arg_max(l_partkey, (area, l_partkey)) AS target FROM im GROUP BY img")
 def a13(spark, sf):
     return images(spark, sf).groupBy("img").agg(F.max_by("l_partkey", F.struct("area", "l_partkey")).alias("target"))
@@ -925,21 +898,11 @@ def j1(spark, sf):
     return retrieval.vector_topk(e.filter("label = 0").withColumnRenamed("g", "q"), e.filter("label > 0"), 10).select("q", "g")
 
 
-@query("J2_merged_lists", f"WITH {HYBRID} SELECT q, g, sc >= sd AS crop_first FROM sim JOIN pool USING (q, g)")
+@query("J2_merged_lists", f"WITH {HYBRID} SELECT q, g, round(sc, 6) AS crop, round(sd, 6) AS box, sc >= sd AS crop_first FROM sim JOIN pool USING (q, g)")
 def j2(spark, sf):
     s = spaces(spark, sf)
-    queries, gallery = s.filter("g % 10 = 0").withColumnRenamed("g", "q"), s.filter("g % 10 <> 0")
-    one = lambda c: retrieval.vector_topk(queries.select("q", F.col(c).alias("vec")), gallery.select("g", F.col(c).alias("vec")), 10).select("q", "g", F.col("score").alias(c))
-    both = one("crop").join(one("box"), ["q", "g"], "full")
-    sides = both.select("q", "g").join(queries.select("q", F.col("crop").alias("qc"), F.col("box").alias("qb")), "q").join(gallery.select("g", "crop", "box"), "g")
-    return sides.select("q", "g", (vec.dot(F.col("qc"), F.col("crop")) >= vec.dot(F.col("qb"), F.col("box"))).alias("crop_first"))
-
-
-@query("T4_incremental", "SELECT doc_id, quality FROM labels WHERE doc_id % 2 = 1")
-def t4(spark, sf):
-    """What a second run has left to do after a first that did the even ids."""
-    lab = t(spark, sf, "labels")
-    return lab.select("doc_id", "quality").join(lab.filter("doc_id % 2 = 0").select("doc_id"), "doc_id", "left_anti")
+    merged = retrieval.merged_lists(s.withColumnRenamed("g", "q"), s, ["crop", "box"], 10, exclude_self=True)
+    return merged.select("q", "g", r6("crop").alias("crop"), r6("box").alias("box"), (F.col("crop") >= F.col("box")).alias("crop_first"))
 
 
 @query("T6_session_retention", "WITH s AS (SELECT user_id, max(ts) last FROM events GROUP BY 1) SELECT user_id FROM s WHERE last >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")

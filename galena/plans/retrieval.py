@@ -173,7 +173,9 @@ def g2(spark, sf):
 @query("G4_score_distributions", f"WITH {ANSWERS}, k AS (SELECT CASE WHEN slug IS NULL THEN 'no_answer' WHEN rank_of = 1 THEN 'hit' ELSE 'wrong' END kind, score FROM ans) SELECT kind, count(*) AS n, round(min(score), 6) AS lo, round(list_sort(list(score))[count(*) // 10 + 1], 6) AS p10, round(median(score), 6) AS mid, round(max(score), 6) AS hi FROM k GROUP BY kind")
 def g4(spark, sf):
     kind = F.when(F.col("slug").isNull(), "no_answer").when(F.col("rank_of") == 1, "hit").otherwise("wrong")
-    return answers(spark, sf).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), r6(F.min("score")).alias("lo"), r6(evaluation.nearest_rank(F.col("score"), 1, 10)).alias("p10"), r6(F.median("score")).alias("mid"), r6(F.max("score")).alias("hi"))
+    scored = answers(spark, sf).select(kind.alias("kind"), "score")
+    out = evaluation.quantiles(scored, "score", {"p10": evaluation.nearest_rank(1, 10), "mid": evaluation.quantile(0.5)}, ("kind",))
+    return out.select("kind", "n", *(r6(c).alias(c) for c in ("lo", "p10", "mid", "hi")))
 
 
 @query("G5_end_to_end", f"""WITH {ANSWERS}, x AS (SELECT *, answer IS NOT NULL AND answer IS NOT DISTINCT FROM slug ok, slug IS NOT NULL AND indexed has, slug IS NULL non, slug IS NOT NULL AND NOT indexed un FROM ans),

@@ -67,27 +67,12 @@ def write_snapshot(df: DataFrame, path: str) -> None:
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a snapshot, or an error if they aren't those that were written."""
     df = spark.read.parquet(f"{path}/data")
-    want, got = spark.read.schema("n long, digest long").json(f"{path}/manifest").first(), content_hash(df).first()
+    want, got = spark.read.schema("n long, digest string").json(f"{path}/manifest").first(), content_hash(df).first()
     if tuple(want) != tuple(got):
         raise ValueError(f"snapshot has {got.n} rows, {want.n} were written, or their content differs")
     return df
 
 
-def append_results(done_path: str, todo: DataFrame, key: str, process) -> int:
-    """Process the rows whose key has no result yet, and append the results. Spark commits a run's files together, so a lost run leaves nothing half done."""
-    spark = todo.sparkSession
-    try:
-        done = spark.read.json(done_path).select(key)
-        todo = todo.join(done, key, "left_anti")
-    except Exception as e:  # the folder doesn't exist yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    n = todo.count()
-    if n:
-        process(todo).write.mode("append").json(done_path)
-    return n
-
-
 def per_row(df: DataFrame, f, out: str) -> DataFrame:
     """f over every row as a dict; a row that fails is a row with status error, the rest goes on. out: schema of what f returns."""
     import pandas as pd
@@ -111,20 +96,3 @@ def write_report(df: DataFrame, path: str) -> None:
     """The rows as JSON lines and as CSV."""
     df.write.mode("overwrite").json(f"{path}/json")
     df.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
-
-
-class SessionStore:
-    """Sessions as an append-only table of turns: a turn is there whole or not at all, and a session is read by its id."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def append(self, turns: DataFrame) -> None:
-        """turns: conv_id, turn, role, text."""
-        turns.write.mode("append").parquet(self.path)
-
-    def load(self, conv_id: int) -> DataFrame:
-        found = self.spark.read.parquet(self.path).filter(F.col("conv_id") == conv_id)
-        if found.isEmpty():
-            raise KeyError(conv_id)
-        return found.orderBy("turn")

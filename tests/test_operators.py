@@ -1,5 +1,6 @@
 """Edge cases of the operators on small fixtures, and checks against plain numpy."""
 
+import datetime
 import uuid
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from galena.functions import geometry, text, vectors
 from galena.operators import catalog, datasets, decision, evaluation, linalg, retrieval, scoring, sessions
-from galena.sources import tables
+from galena.sources import stores, tables
 from galena.streaming import flows
 
 
@@ -41,8 +42,8 @@ def test_topk_against_numpy(spark):
     score = v @ v.T
     np.fill_diagonal(score, -np.inf)
     want = [(q, int(g), r + 1) for q in range(300) for r, g in enumerate(np.lexsort((np.arange(300), -score[q]))[:5])]
-    for limit in (1 << 26, 10_000):
-        got = retrieval.vector_topk(df.withColumnRenamed("g", "q"), df, 5, exclude_self=True, max_broadcast_bytes=limit)
+    for limit in (1 << 26, 10_000, 700):
+        got = retrieval.vector_topk(df.withColumnRenamed("g", "q"), df, 5, exclude_self=True, block_bytes=limit)
         assert sorted((r.q, r.g, r["rank"]) for r in got.collect()) == sorted(want)
     none = df.limit(0)
     assert retrieval.vector_topk(none.withColumnRenamed("g", "q"), df, 3).count() == 0
@@ -193,10 +194,64 @@ def test_snapshots_and_resume(spark, tmp_path):
     with pytest.raises(ValueError, match="were written"):
         tables.read_snapshot(spark, f"file://{tmp_path}/s")
     done = f"file://{tmp_path}/done"
-    assert tables.append_results(done, df.limit(40), "id", lambda x: x) == 40
-    assert tables.append_results(done, df, "id", lambda x: x) == 60
-    assert tables.append_results(done, df, "id", lambda x: x) == 0
-    assert spark.read.json(done).count() == 100
+    run = lambda d, **meta: stores.append_results(done, d, "id", lambda x: x, meta)
+    assert run(df.limit(40), size=1) == 40
+    with open(f"{tmp_path}/done/rows/part-torn.json", "w") as f:
+        f.write('{"id": 77, "x')
+    with pytest.raises(ValueError, match="other settings"):
+        run(df, size=2)
+    assert run(df, size=1) == 60
+    assert run(df, size=1) == 0
+    assert sorted(one(tables.read_lines(spark, f"{done}/rows", "id long, x long"), "id")) == list(range(100))
+    assert stores.append_results(f"file://{tmp_path}/none", df.limit(0), "id", lambda x: x, {}) == 0
+
+
+def test_content_hash_sees_exchanged_pairs(spark):
+    make = lambda *rows: datasets.content_hash(spark.createDataFrame(rows, "a string, b double")).first()
+    x, y, z = ("x", 1.0), ("y", None), (None, 2.0)
+    assert make(x, x, y) != make(z, z, y) and make(x, y, x) == make(x, x, y) != make(x, y, y) and make(x, y).n == 2
+    assert make().digest == "0-0"
+
+
+def test_snapshots_by_time(spark, tmp_path):
+    s = stores.Snapshots(spark, f"file://{tmp_path}")
+    with pytest.raises(KeyError):
+        s.restore("t")
+    s.dump(spark.range(5), "t", "2024-01-01")
+    s.dump(spark.range(7), "t", "2024-03-01")
+    assert s.restore("t").count() == s.restore("t", "2024-03-01").count() == 7
+    with pytest.raises(ValueError, match="was built at 2024-03-01"):
+        s.restore("t", "2024-01-01")
+
+
+def test_sources_that_fail(spark, tmp_path):
+    with pytest.raises(stores.SourceError, match="no such file"):
+        stores.read_text(spark, f"file://{tmp_path}/none")
+    with pytest.raises(stores.SourceError, match="no such file"):
+        stores.read_labels(spark, f"file://{tmp_path}/none")
+    with pytest.raises(RuntimeError, match="access is denied"):
+        stores.reading("s3a://b/k", lambda: (_ for _ in ()).throw(OSError("AccessDenied (Service: S3, Status Code: 403)")))
+    (tmp_path / "l.csv").write_text("\ufeffimage_filename, slug\na.jpg,  x \nb.jpg,\nc.jpg,\"\"\n", encoding="utf-8")
+    assert sorted(map(tuple, stores.read_labels(spark, f"file://{tmp_path}/l.csv").collect())) == [("a.jpg", "x"), ("b.jpg", None), ("c.jpg", None)]
+    (tmp_path / "m.csv").write_text("image_filename\na.jpg\n")
+    with pytest.raises(stores.SourceError, match="no columns"):
+        stores.read_labels(spark, f"file://{tmp_path}/m.csv")
+    (tmp_path / "n.csv").write_text("image_filename,slug\n ,x\n")
+    with pytest.raises(Exception, match="a row has no image_filename"):
+        stores.read_labels(spark, f"file://{tmp_path}/n.csv").collect()
+
+
+def test_listing_goes_on(spark, tmp_path):
+    pages, asked = {1: "aab", 2: "bcd", 3: "def", 4: "g"}, []
+
+    def fetch(page):
+        asked.append(page)
+        return spark.createDataFrame([(c, page) for c in pages.get(page, "")], "code string, page int")
+
+    at = f"file://{tmp_path}/l"
+    assert stores.listing(spark, fetch, at, "code", 3, pages=2) == 4
+    assert stores.listing(spark, fetch, at, "code", 3) == 3 and asked == [1, 2, 2, 3, 4, 5]
+    assert sorted(map(tuple, spark.read.parquet(at).collect())) == [("a", 1), ("b", 1), ("c", 2), ("d", 2), ("e", 3), ("f", 3), ("g", 4)]
 
 
 def test_failing_rows(spark):
@@ -273,13 +328,89 @@ def test_plugins(spark, tmp_path):
     assert [tuple(r) for r in plugins.answered(sessions.histories(turns), lambda ms: f"{len(ms)} turns").collect()] == [(1, "1 turns")]
 
 
-def test_session_store_and_reports(spark, tmp_path):
-    store = tables.SessionStore(spark, f"file://{tmp_path}/s")
-    make = lambda *rows: spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    store.append(make((1, 1, "user", "a")))
-    store.append(make((1, 2, "assistant", "b"), (2, 1, "user", "c")))
-    assert one(store.load(1), "text") == ["a", "b"]
-    with pytest.raises(KeyError):
-        store.load(9)
-    tables.write_report(store.load(1), f"file://{tmp_path}/r")
+def test_session_table_and_reports(spark, tmp_path):
+    store = stores.SessionTable(spark, f"file://{tmp_path}/s")
+    make = lambda *rows: spark.createDataFrame([(i, datetime.datetime(2024, 1, day), [("user", x) for x in texts]) for i, day, texts in rows], "session_id string, at timestamp, messages array<struct<role: string, text: string>>")
+    assert store.load("1") is None
+    store.save(make(("1", 1, "a"), ("2", 2, "b")))
+    store.save(make(("1", 3, "ac"), ("4", 20, "")))
+    assert [m.text for m in store.load("1").messages] == ["a", "c"] and store.load("1").version == 2 and store.load("9") is None
+    store.delete(spark.createDataFrame([("2",), ("8",)], "session_id string"))
+    assert sorted(one(store.all(), "session_id")) == ["1", "4"]
+    store.save(make(("2", 18, "x"), ("3", 19, "y")))
+    assert store.load("2").version == 3
+    store.expire(days=7, newest=2)
+    assert sorted(one(store.all(), "session_id")) == ["3", "4"]
+    with pytest.raises(Exception, match="not the id of a session"):
+        store.save(make(("../x", 1, "a")))
+    store.save(spark.createDataFrame([("5", datetime.datetime(2024, 1, 1), [(None, "x")])], store.all().drop("version").schema))
+    with pytest.raises(ValueError, match="without role"):
+        store.load("5")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
+    tables.write_report(rows, f"file://{tmp_path}/r")
     assert spark.read.json(f"file://{tmp_path}/r/json").count() == spark.read.option("header", True).csv(f"file://{tmp_path}/r/csv").count() == 2
+
+
+def test_serial_turns(spark):
+    rows = [(1, 1, "ask", False, 404, 0), (1, 2, "open", False, 200, 0), (1, 3, "ask", False, 200, 1), (1, 4, "ask", True, 502, 1), (1, 5, "open", False, 409, 1), (1, 6, "ask", False, 200, 2), (2, 1, "ask", True, 404, 0)]
+    df = spark.createDataFrame(rows, "s long, n long, kind string, failed boolean, status_ int, turn_ int")
+    assert all(r.status == r.status_ and r.turn == r.turn_ for r in sessions.serial_turns(df, "s", "n", "kind", "failed").collect())
+
+
+def test_quantiles_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, float(x)) for g, n in (("a", 1), ("b", 2), ("c", 700), (None, 31)) for x in rng.integers(0, 60, n) / 4]
+    df = spark.createDataFrame([*rows, ("c", None), ("z", None)], "g string, v double").repartition(5)
+    at = {"p10": evaluation.nearest_rank(1, 10), "mid": evaluation.quantile(0.5), "q": evaluation.quantile(0.93)}
+    got = {r.g: r for r in evaluation.quantiles(df, "v", at, ("g",)).collect()}
+    assert got.keys() == {"a", "b", "c", None}
+    for g, r in got.items():
+        v = np.sort([x for h, x in rows if h == g])
+        assert (r.n, r.lo, r.hi, r.p10) == (len(v), v[0], v[-1], v[len(v) // 10])
+        assert np.isclose(r.mid, np.quantile(v, 0.5)) and np.isclose(r.q, np.quantile(v, 0.93))
+    whole = evaluation.quantiles(df, "v", at).first()
+    assert whole.n == len(rows) and np.isclose(whole.q, np.quantile([x for _, x in rows], 0.93))
+    assert evaluation.quantiles(df.limit(0), "v", at).first().mid is None
+
+
+def test_crowd_against_pairs(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(0, 4)) if i % 50 else None, i, float(rng.integers(0, 10)) / 10, float(rng.integers(1, 30))) for i in range(300)]
+    df = spark.createDataFrame([*rows, (1, 999, 0.9, None)], "img long, k long, conf double, area double")
+    got = {r.k: r.crowd for r in scoring.crowd(df, "img", ["k"], "conf", "area").collect()}
+    for img, k, _, area in rows:
+        assert got[k] == sum(o[0] == img and o[1] != k and o[2] >= 0.5 and 0.5 * area <= o[3] <= 2 * area for o in rows), k
+
+
+def test_class_scores_in_blocks(spark):
+    rng = np.random.default_rng(10)
+    rows = spark.createDataFrame([(i, i % 3, rng.normal(size=4).tolist()) for i in range(20)], "q long, label long, vec array<double>")
+    centres = spark.createDataFrame([(c, rng.normal(size=4).tolist(), 5) for c in range(7)], "cls long, centre array<double>, size long")
+    one_, many = ({(r.q, r.cls): round(r.cos, 9) for r in linalg.class_scores(rows, centres, n).collect()} for n in (1 << 20, 200))
+    assert one_ == many and len(one_) == 140
+
+
+def test_verdicts_are_checked(spark):
+    from galena.plans import plugins
+
+    candidates = spark.createDataFrame([(1, 10), (1, 11), (2, 12)], "q long, g long")
+
+    class Says:
+        def __init__(self, *rows):
+            self.rows = rows
+
+        def resolve(self, _):
+            return spark.createDataFrame(self.rows, "q long, g long")
+
+    assert sorted(map(tuple, plugins.resolved(Says((1, 11), (2, None)), candidates).collect())) == [(1, 11), (2, None)]
+    for rows, fault in ((((1, 12), (2, 12)), "no candidate"), (((1, 10),), "one verdict"), (((1, 10), (1, 11), (2, 12)), "one verdict"), (((1, 10), (2, 12), (3, 10)), "without a query")):
+        with pytest.raises(Exception, match=fault):
+            plugins.resolved(Says(*rows), candidates).collect()
+
+
+def test_normalized_binds_its_norm(spark):
+    """The norm is worked out once a row, not once an element."""
+    plan = spark.createDataFrame([([3.0, 4.0],)], "v array<double>").select(vectors.normalized(F.col("v")).alias("u"))
+    assert plan.first().u == [0.6, 0.8]
+    text_ = plan._jdf.queryExecution().analyzed().toString()
+    assert text_.count("aggregate(") == 1
