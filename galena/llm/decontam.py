@@ -4,6 +4,8 @@ training documents are scanned against it, and hits are verified word by word.
 DataFrame functions only. Documents aren't shuffled: windows leave the scan only where they hit. What is broadcast is
 bounded by ``max_broadcast_bytes`` against a measured size; a larger benchmark is joined by a shuffle instead. A text is cut
 into chunks of CHUNK words, each with the beginning of the next, before windows are made, so that no row holds the windows of a whole text.
+Where the benchmark's windows have at most MAX_HEADS different beginnings of HEAD words, the hashes of these are part of the plan, and only document
+windows that begin like one are put together; without that the result is the same.
 
 Defined cases: a null or empty text has no words and no hit; items without words give no window; an item of fewer words
 than ``n`` is one window of all its words; repeated documents are reported once per row; a repeated item_id
@@ -22,6 +24,7 @@ from .common import free_names, let, lower_ascii, words_by
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_BYTES = 64 << 20
 CHUNK = 4096
+HEAD, MAX_HEADS = 3, 1 << 15
 
 
 def words(text: Column) -> Column:
@@ -43,6 +46,21 @@ def benchmark_windows(benchmark: DataFrame, n: int, item: str, text: str) -> Dat
     return grams.groupBy("gram", "len").agg(F.collect_set("item").alias("items")).withColumn("gram_hash", F.xxhash64("gram"))
 
 
+def beginnings(grams: DataFrame) -> dict[int, list[str]] | None:
+    """For each length of the benchmark's windows, the hashes of their first HEAD words as literals; None if there are more than MAX_HEADS."""
+    words_ = F.split("gram", " ")
+    head = F.when(F.col("len") == 1, F.xxhash64(words_[0]))
+    for n in range(2, HEAD):
+        head = head.when(F.col("len") == n, F.xxhash64(*[words_[j] for j in range(n)]))
+    found = grams.select("len", head.otherwise(F.xxhash64(*[F.get(words_, j) for j in range(HEAD)])).alias("h")).distinct().limit(MAX_HEADS + 1).collect()
+    if len(found) > MAX_HEADS:
+        return None
+    out: dict[int, list[str]] = {}
+    for k, h in found:
+        out.setdefault(k, []).append(f"{h}L" if h > -(1 << 63) else f"({h + 1}L - 1L)")
+    return out
+
+
 def version_of(text: Column) -> Column:
     """With its key, the identity of a row."""
     return F.xxhash64(text)
@@ -53,12 +71,21 @@ def hit_rows(docs: DataFrame, benchmark: DataFrame, n: int, item: str, item_text
     grams = benchmark_windows(benchmark, n, item, item_text)
     # one row of facts: which lengths below n occur, and how large the set is
     lengths, size = grams.agg(F.collect_set("len"), F.coalesce(F.sum(F.length("gram") + 16 * F.size("items") + 64), F.lit(0))).first()
-    # the windows that begin in a chunk's own words; the words after those belong to the next chunk
-    marked = lambda w, k: F.transform(F.slice(windows(w, k), 1, CHUNK), lambda x, i: F.struct((F.col("base") + i).alias("at"), F.lit(k).alias("len"), x.alias("window")))
+    heads = beginnings(grams)
+
+    def marked(k: int) -> Column:
+        """The windows of k words that begin in a chunk's own words; the words after those belong to the next chunk."""
+        last = F.least(F.size("part") - k, F.lit(CHUNK - 1))
+        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        if heads is not None:
+            first = ", ".join(f"element_at(part, i + {j + 1})" for j in range(min(HEAD, k)))
+            places = F.expr(f"filter(sequence(0, greatest(least(size(part) - {k}, {CHUNK - 1}), 0)), i -> size(part) >= {k} and xxhash64({first}) in ({', '.join(heads[k])}))")
+        return F.transform(places, lambda i: F.struct((F.col("base") + i).alias("at"), F.lit(k).alias("len"), F.array_join(F.slice("part", i + 1, k), " ").alias("window")))
+
     empty = F.array().cast("array<struct<at:int,len:int,window:string>>")
     chunk = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(CHUNK)), lambda b: F.struct(b.alias("base"), F.slice(w, b + 1, CHUNK + n - 1).alias("part")))
     chunks = docs.select("key", "version", F.inline(let(words(F.col("text")), chunk)))
-    scanned = chunks.select("key", "version", F.inline(F.concat(empty, *[marked(F.col("part"), k) for k in sorted(lengths)])))
+    scanned = chunks.select("key", "version", F.inline(F.concat(empty, *map(marked, sorted(lengths)))))
     known = grams.withColumnRenamed("len", "gram_len")
     known = F.broadcast(known) if size <= max_broadcast_bytes else known.hint("merge")
     scanned = scanned.withColumn("hash", F.xxhash64("window"))

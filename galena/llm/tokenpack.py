@@ -25,6 +25,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ SHARD_IDS = 4 << 20
 FILE_SHARDS = 16
 #: Text of a partition, on average.
 PARTITION_BYTES = 256 << 20
+PACKED = 8
 SLICE_CHARS = 2 << 20
 RECENT_WORDS = 250_000
 
@@ -155,16 +157,15 @@ class Encoder:
         """A word of plain letters is one pre-token, so the library's model can be asked directly."""
         low = word.lower()
         if (found := self.recent.get(low) or self.older.get(low)) is None:
-            found = np.array([t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.shown))], "<u4").tobytes()
+            found = array("I", [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.shown))]).tobytes()
             self.recent[low] = found
         return found
 
     def word(self, word: str) -> bytes:
-        if (found := self.older.get(word)) is None:
-            if m := self.PLAIN.fullmatch(word):
-                found = self.of_letters(m[1]) + (self.of_letters_end(m[2]) if m[2] else b"")
-            else:
-                found = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if m := self.PLAIN.fullmatch(word):
+            found = self.of_letters(m[1]) + (self.of_letters_end(m[2]) if m[2] else b"")
+        else:
+            found = array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
         self.recent[word] = found
         return found
 
@@ -178,7 +179,10 @@ class Encoder:
             self.recent, self.older = {}, self.recent
         recent = self.recent
         for w in set(words).difference(recent):
-            self.word(w)
+            if (found := self.older.get(w)) is None:
+                self.word(w)
+            else:
+                recent[w] = found
         return np.frombuffer(b"".join(map(recent.__getitem__, words)), "<u4")
 
 
@@ -192,12 +196,16 @@ def partitions_for(n_bytes: int, least: int) -> int:
 
 
 def write(docs: DataFrame, out: str, path: str | None = None, key: str = "doc_id", text: str = "text", end: int = END, partitions: int | None = None) -> None:
-    """Encode and write. Texts are shuffled once, into ranges of doc_id, whose number follows the measured length of all texts."""
+    """Encode and write. Texts are shuffled once, into ranges of doc_id, whose number follows the measured length of all texts. They are measured where the
+    files that are read, if they were PACKED times as long when unpacked, would fill more partitions than the session shuffles into."""
     spark = docs.sparkSession
     bounded_batches(spark)
     path = path or default_vocabulary()
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    n = partitions or partitions_for(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if partitions is None:
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if PACKED * int(str(own._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > partitions * PARTITION_BYTES:
+            partitions = partitions_for(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0, partitions)
 
     def run(batches):
         encoder, at, number = worker_encoder(path), TaskContext.get().partitionId(), 0
@@ -214,7 +222,7 @@ def write(docs: DataFrame, out: str, path: str | None = None, key: str = "doc_id
         if keys:
             yield pa.RecordBatch.from_pydict({"value": pa.array([shard(keys, found, bits, partition=at, number=number)], pa.binary())})
 
-    ranged = own.repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"))
+    ranged = own.repartitionByRange(partitions, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"))
     ranged.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_SHARDS).text(out)
 
 

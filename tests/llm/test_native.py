@@ -64,7 +64,7 @@ def report(df):
     return sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.contaminated) for r in df.collect()), key=str)
 
 
-def test_decontamination(spark, sf, edge_docs, no_docs, texts):
+def test_decontamination(spark, sf, edge_docs, no_docs, texts, monkeypatch):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     got = registry.QUERIES["op7_decontamination"](spark, sf).collect()
     assert sorted(map(tuple, got)) == sorted((d.doc_id, *leaks(d.text, items)) for d in docs.collect())
@@ -73,6 +73,11 @@ def test_decontamination(spark, sf, edge_docs, no_docs, texts):
     want = sorted(((d.doc_id, *leaks(d.text, own)) for d in edge_docs.collect()), key=str)
     assert report(decontam.contamination(edge_docs, bench)) == want
     assert report(decontam.contamination(edge_docs, bench, max_broadcast_bytes=0)) == want
+    with monkeypatch.context() as m:  # without the beginnings in the plan, and by those of one word
+        for name, value in (("MAX_HEADS", 0), ("HEAD", 1)):
+            m.setattr(decontam, name, value)
+            assert report(decontam.contamination(edge_docs, bench)) == want
+            m.undo()
     assert decontam.contamination(no_docs, bench).count() == 0
     assert not any(r.contaminated for r in decontam.contamination(edge_docs, bench.limit(0)).collect())
     kept = decontam.decontaminate(edge_docs, bench)
