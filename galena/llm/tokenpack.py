@@ -45,7 +45,7 @@ FILE_SHARDS = 16
 PARTITION_BYTES = 256 << 20
 PACKED = 8
 SLICE_CHARS = 2 << 20
-RECENT_WORDS = 250_000
+RECENT_WORDS = 500_000
 
 
 def default_vocabulary() -> str:
@@ -153,36 +153,34 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.size = self.library.get_vocab_size(with_added_tokens=True)
 
-    def of_letters(self, word: str) -> bytes:
-        """A word of plain letters is one pre-token, so the library's model can be asked directly."""
-        low = word.lower()
-        if (found := self.recent.get(low) or self.older.get(low)) is None:
-            found = array("I", [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.shown))]).tobytes()
-            self.recent[low] = found
-        return found
-
-    def word(self, word: str) -> bytes:
-        if m := self.PLAIN.fullmatch(word):
-            found = self.of_letters(m[1]) + (self.of_letters_end(m[2]) if m[2] else b"")
-        else:
-            found = array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
-        self.recent[word] = found
-        return found
-
-    @functools.lru_cache(maxsize=8)  # noqa: B019
-    def of_letters_end(self, mark: str) -> bytes:
-        return np.array(self.library.encode(mark, add_special_tokens=False).ids, "<u4").tobytes()
+    def learn(self, words) -> None:
+        """Put the ids of distinct words into recent. A word of plain letters is one pre-token, so the library's model can be asked directly, once for
+        all cases and marks that the word has."""
+        recent, older, plain, tokenize = self.recent, self.older.get, self.PLAIN.fullmatch, self.model.tokenize
+        met = recent.get
+        for w in words:
+            if (found := older(w)) is None:
+                if m := plain(w):
+                    low, mark = m[1].lower(), m[2]
+                    if (found := met(low) or older(low)) is None:
+                        shown = low if low.isascii() else low.encode().decode("latin-1").translate(self.shown)
+                        recent[low] = found = array("I", [t.id for t in tokenize(shown)]).tobytes()
+                    if mark:
+                        found += self.ids(mark)
+                else:
+                    found = self.ids(w)
+            recent[w] = found
+
+    @functools.lru_cache(maxsize=1024)  # noqa: B019
+    def ids(self, word: str) -> bytes:
+        return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
 
     def text(self, text: str) -> np.ndarray:
         words = text.replace("\n", " ").split(" ")
         if len(self.recent) > RECENT_WORDS:  # words met since are kept, the rest goes at the next turn
             self.recent, self.older = {}, self.recent
         recent = self.recent
-        for w in set(words).difference(recent):
-            if (found := self.older.get(w)) is None:
-                self.word(w)
-            else:
-                recent[w] = found
+        self.learn(set(words).difference(recent))
         return np.frombuffer(b"".join(map(recent.__getitem__, words)), "<u4")
 
 
