@@ -68,8 +68,9 @@ def bad_line(line: Column) -> Column:
     symbolic = line.rlike(r"[#*$%&<>]{2}") & (symbols * 2 >= n_words)
     shouted = (line == F.upper(line)) & (line != F.lower(line)) & (n_words >= 3) | (occurrences(line, "!!") * 5 >= n_words)
     stuttered = line.rlike(r"(?:^|[ \t])(\S+)(?:[ \t]+\1){3}(?:[ \t]|$)")
-    tail = F.size(F.split(F.trim(F.regexp_extract(line, r"([^.!?…:;。！？]*+)$", 1)), BLANK))
-    unpunctuated = (n_words > SHORT_LINE) & ~line.rlike(r"[.!?…:;。！？]\S{0,3}\s*$") & (2 * tail > n_words)
+    # what follows the last mark; the leading run is greedy, so that the match begins at the line's end
+    tail = F.regexp_replace(line, r"(?s)^.*[.!?…:;。！？]", "")
+    unpunctuated = (n_words > SHORT_LINE) & (2 * F.size(F.split(F.trim(tail), BLANK)) > n_words)
     return navigation | symbolic | shouted | unpunctuated | stuttered | line.rlike(BOILERPLATE)
 
 
