@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galena.session import prepared
+
 
 def share(flag: Column, of: Column | None = None) -> Column:
     """Mean of a condition over the rows of a cohort; null where the cohort is empty."""
@@ -18,12 +20,15 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def running_total(df: DataFrame, by: str | list[str], value: str, groups: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
-    """df with before, the sum of value over rows of the group with a smaller by, and total, the group's sum. by must be unique in a group, and its first
-    column a number. Ranges of it are summed apart and then put in order, so that no task needs all rows, nor all of a group."""
+    """df with before, the sum of value over rows of the group with a smaller by, and total, the group's sum. by must be unique in a group, but for
+    rows whose value is 0, and its first column a number. Ranges of it are summed apart and then put in order, so that no task needs all rows, nor all of a group."""
+    prepared(df.sparkSession)
     by, groups = [by] if isinstance(by, str) else by, list(groups)
     cuts = df.agg(F.percentile_approx(by[0], [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(by[0])))
+    bucket = F.lit(0)  # how many cuts lie below
+    for c in cuts:
+        bucket = bucket + F.coalesce(F.col(by[0]) > F.lit(c), F.lit(False)).cast("int")
     out = df.withColumn("__b", bucket)
     sums = out.groupBy(*groups, "__b").agg(F.sum(value).alias("s"))  # a row for each range of a group
     per = Window.partitionBy(*groups)

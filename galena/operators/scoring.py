@@ -27,13 +27,12 @@ def crowd(df: DataFrame, image: str, key: list[str], conf: str, area: str, least
     # the candidate itself, and the ends of its range: areas below the one and up to the other count
     marks = F.array(*(F.struct(v.alias("at"), F.lit(o).alias("kind")) for v, o in ((F.col("area"), 1), (F.col("area") * low, 0), (F.col("area") * high, 2))))
     events = own.filter("area is not null").select("img", "who", "sure", F.inline(marks))
-    counts = events.groupBy("img", "at", "kind").agg(F.sum(F.when(F.col("kind") == 1, F.col("sure")).otherwise(0)).alias("n"))
-    placed = running_total(counts, ["at", "kind"], "n", ("img",)).select(F.col("img").alias("i"), F.col("at").alias("a"), F.col("kind").alias("k"), "before")
-    seen = events.filter("kind <> 1").join(placed, F.col("img").eqNullSafe(F.col("i")) & (F.col("at") == F.col("a")) & (F.col("kind") == F.col("k")))
+    # ends of ranges weigh nothing, so it doesn't matter how those at one place are ordered
+    placed = running_total(events.withColumn("n", F.when(F.col("kind") == 1, F.col("sure")).otherwise(0)), ["at", "kind"], "n", ("img",))
     ends = lambda k: F.max(F.when(F.col("kind") == k, F.col("before")))
-    near = seen.groupBy("img", "who").agg((ends(2) - ends(0)).alias("near")).withColumnsRenamed({"img": "of", "who": "whose"})
-    out = own.join(near, F.col("img").eqNullSafe(F.col("of")) & F.col("who").eqNullSafe(F.col("whose")), "left")
-    return out.select(F.col("img").alias(image), *(F.col("who")[c].alias(c) for c in key), (F.coalesce("near", F.lit(0)) - F.col("sure")).alias("crowd"))
+    near = placed.filter("kind <> 1").groupBy("img", "who").agg((ends(2) - ends(0) - F.max("sure")).alias("crowd"))
+    out = near.unionByName(own.filter("area is null").select("img", "who", F.lit(0).cast("long").alias("crowd")))
+    return out.select(F.col("img").alias(image), *(F.col("who")[c].alias(c) for c in key), "crowd")
 
 
 def logistic(features: list[Column], mean: list[float], std: list[float], coef: list[float], intercept: float) -> Column:
