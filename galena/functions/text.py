@@ -71,3 +71,12 @@ def uuid5(namespace_hex: str, name: Column) -> Column:
 def hash_fraction(c: Column) -> Column:
     """A number in [0, 1) that depends on the text alone: the first 32 bits of its SHA-256."""
     return F.conv(F.substring(F.sha2(c, 256), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+
+
+def retry_delay(attempt: Column, jitter: Column, hint: Column, initial: float = 0.5, maximum: float = 4.0) -> Column:
+    """Seconds before the next attempt: initial, doubled for each attempt after the first, plus jitter, at most maximum; a longer hint of the
+    server in plain seconds wins, and one in another form (a date) counts as none."""
+    text = F.trim(hint)
+    hinted = F.when(text.rlike(r"^(\d+\.?\d*|\.\d+)$"), text.cast("double"))
+    backoff = F.least(initial * F.pow(F.lit(2.0), attempt - 1) + jitter, F.lit(maximum))
+    return F.greatest(backoff, F.coalesce(hinted, F.lit(0.0)))

@@ -186,21 +186,11 @@ def p8(spark, sf):
     return t(spark, sf, "part").select("p_partkey", F.coalesce(F.try_element_at(known, F.col("p_brand")), F.lit("unknown")).alias("colour"), F.when(F.col("p_size") < 20, "small").otherwise("unknown").alias("size"))
 
 
-@query("P9_folded_text", "SELECT doc_id, md5(replace(lower(trim(substr(text, 1, 40))), 'ё', 'е')) AS folded FROM documents")
-def p9(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", F.md5(tx.folded(F.substring("text", 1, 40))).alias("folded"))
-
-
 @query("P9_folded_whole", "SELECT doc_id, md5(replace(lower(trim(text)), 'ё', 'е')) AS folded FROM documents")
 def p9_whole(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.md5(tx.folded(F.col("text"))).alias("folded"))
 
 
-@query("P10_safe_names", "SELECT doc_id, substr(regexp_replace(text, '[^\\p{L}\\p{N}_.-]+', '_', 'g'), 1, 80) AS name FROM documents WHERE lang = 'en'")
-def p10(spark, sf):
-    return t(spark, sf, "documents").filter("lang = 'en'").select("doc_id", tx.safe_name(F.col("text")).alias("name"))
-
-
 @query("P10_safe_names_all", "SELECT doc_id, substr(regexp_replace(text, '[^\\p{L}\\p{N}_.-]+', '_', 'g'), 1, 80) AS name FROM documents")
 def p10_all(spark, sf):
     return t(spark, sf, "documents").select("doc_id", tx.safe_name(F.col("text")).alias("name"))
@@ -480,13 +470,6 @@ def g18(spark, sf):
     return e.join(m, "event_type").select("event_id", r6((F.col("value") - F.col("mean")) / F.sqrt(F.col("var") + 1e-6)).alias("z"))
 
 
-@query("G18_covariance", "WITH l AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])[1:6]) x, generate_subscripts(embedding[1:6], 1) pos FROM embeddings) SELECT CAST(a.pos - 1 AS BIGINT) AS i, CAST(b.pos - 1 AS BIGINT) AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM l a JOIN l b USING (vec_id) GROUP BY a.pos, b.pos")
-def g18b(spark, sf):
-    e = embeddings(spark, sf).select(F.slice("vec", 1, 6).alias("vec"))
-    _, cov = linalg.covariance(e, "vec")
-    return spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(6) for j in range(6)], "i long, j long, cov double").select("i", "j", r6("cov").alias("cov"))
-
-
 @query("G18_covariance_whole", "WITH l AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) x, generate_subscripts(embedding, 1) pos FROM embeddings) SELECT CAST(a.pos - 1 AS BIGINT) AS i, CAST(b.pos - 1 AS BIGINT) AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM l a JOIN l b USING (vec_id) GROUP BY a.pos, b.pos")
 def g18b_whole(spark, sf):
     _, cov = linalg.covariance(embeddings(spark, sf), "vec")
@@ -811,6 +794,16 @@ def f26(spark, sf):
     return t(spark, sf, "pages").select("page_id", tx.url_quoted(F.col("url")).alias("quoted"))
 
 
+_HINT = "CASE o_orderpriority WHEN '1-URGENT' THEN '2.5' WHEN '2-HIGH' THEN ' 7 ' WHEN '3-MEDIUM' THEN 'Wed, 21 Oct 2026 07:28:00 GMT' WHEN '4-NOT SPECIFIED' THEN '' END"
+_SECONDS = "CASE o_orderpriority WHEN '1-URGENT' THEN 2.5 WHEN '2-HIGH' THEN 7.0 ELSE 0.0 END"
+
+
+@query("F27_retry_delay", f"SELECT o_orderkey, round(greatest(least(0.5 * pow(2, o_orderkey % 6) + (o_custkey % 100) / 100.0, 4.0), {_SECONDS}), 6) AS delay FROM orders")
+def f27(spark, sf):
+    attempt, jitter = F.col("o_orderkey") % 6 + 1, F.col("o_custkey") % 100 / 100.0
+    return t(spark, sf, "orders").select("o_orderkey", r6(tx.retry_delay(attempt, jitter, F.expr(_HINT))).alias("delay"))
+
+
 @query("F28_margin_logits", f"""WITH {UNIT}, ct AS (SELECT label cls, list(x / n ORDER BY pos) c FROM sm JOIN nm USING (label) GROUP BY label), sz AS (SELECT label cls, count(*) n FROM embeddings GROUP BY 1),
 co AS (SELECT vec_id q, label, ct.cls, sz.n, list_dot_product(CAST(embedding AS DOUBLE[]), c) cs FROM embeddings, ct JOIN sz USING (cls)),
 z AS (SELECT q, label = cls own, 16 * CASE WHEN label = cls THEN cos(acos(least(greatest(cs, -1 + 1e-7), 1 - 1e-7)) + 0.5 * n ** -0.25 + 0.1) ELSE cs END z FROM co)

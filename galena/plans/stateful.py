@@ -203,6 +203,30 @@ def d3(spark, sf):
     return out.select("doc_id", F.col("vec")[0].cast("double").alias("chars"), F.col("vec")[1].cast("double").alias("ends"))
 
 
+@query("S20_image_cache", "SELECT p_partkey, 'first ' || p_name AS cached, CASE WHEN p_partkey % 2 = 0 THEN 'first ' ELSE 'second ' END || p_name AS same_build, 'second ' || p_name AS next_build FROM part")
+def s20(spark, sf):
+    """All images of a build; then, after the store has changed, half of them cached and half not, of the same build; and those of the next build."""
+    part = t(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("name"), "p_name")
+    made = lambda what: part.select("name", F.concat(F.lit(f"{what} "), "p_name").cast("binary").alias("content"))
+    even = part.filter(F.col("name").cast("long") % 2 == 0)
+
+    def texts(cache, column):
+        return cache.images(part).select("name", F.col("content").cast("string").alias(column))
+
+    with scratch(spark) as at:
+        whole, half = stores.ImageCache(spark, made("first"), f"{at}/whole"), stores.ImageCache(spark, made("first"), f"{at}/half")
+        whole.sync("2024-01-01")
+        half.sync("2024-01-01")
+        half.images(even)
+        out = settled(texts(whole, "cached"))
+        for cache in (whole, half):
+            cache.source = made("second")
+        half.sync("2024-01-01")
+        whole.sync("2024-02-01")
+        out = out.join(texts(half, "same_build"), "name").join(texts(whole, "next_build"), "name")
+        return settled(out.select(F.col("name").cast("long").alias("p_partkey"), "cached", "same_build", "next_build"))
+
+
 @query("D4_stores", "SELECT n_nationkey, n_name, 'outdated' AS older FROM nation")
 def d4(spark, sf):
     """A store whose tables are asked for by the time they were built."""

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from galena.operators.datasets import content_hash
 from galena.session import removed
 
+MISSING = "there is no such file"
 #: What an error of a file system comes to, for whoever configured the source.
 REASONS = {
-    r"PATH_NOT_FOUND|FileNotFound|No such file|NoSuchKey": "there is no such file",
+    r"PATH_NOT_FOUND|FileNotFound|No such file|NoSuchKey": MISSING,
     r"NoSuchBucket": "there is no such bucket",
     r"AccessDenied|AccessControl|Permission denied|Forbidden|403": "access is denied",
     r"NoCredentials|NoAuthWithAWS|CredentialInitialization": "there are no credentials",
@@ -151,6 +152,47 @@ class Snapshots:
         return df
 
 
+class ImageCache:
+    """Images of a store, kept in a folder once they were asked for. The folder is stamped with the build that its images are of:
+    names stay the same from build to build while images change, so another build empties it."""
+
+    def __init__(self, spark: SparkSession, source: DataFrame, folder: str):
+        """source: name, content of all images."""
+        self.spark, self.source, self.folder = spark, source, folder
+
+    def found(self, part: str, read):
+        """read(path) of a part of the folder, or None where it isn't there yet; any other fault is an error."""
+        path = f"{self.folder}/{part}"
+        try:
+            return reading(path, lambda: read(path))
+        except SourceError as e:
+            if e.reason != MISSING:
+                raise
+            return None
+
+    def stamp(self) -> str | None:
+        """The build that the cached images are of."""
+        rows = self.found("stamp", self.spark.read.text)
+        return rows and rows.first()[0]
+
+    def sync(self, built_at: str) -> bool:
+        """Whether the cached images are of this build; if not, they are removed and the folder is stamped anew."""
+        if self.stamp() == built_at:
+            return True
+        removed(self.spark, self.folder)
+        self.spark.createDataFrame([(built_at,)], "value string").write.text(f"{self.folder}/stamp")
+        return False
+
+    def images(self, names: DataFrame) -> DataFrame:
+        """name, content of the named images. What isn't cached comes from the store and is cached. A name that the store
+        doesn't have has no row."""
+        wanted, path = names.select("name").distinct(), f"{self.folder}/images"
+        kept = self.found("images", self.spark.read.parquet)
+        new = wanted if kept is None else wanted.join(kept.select("name"), "name", "left_anti")
+        self.source.select("name", "content").join(new, "name", "left_semi").write.mode("append").parquet(path)
+        return self.spark.read.parquet(path).join(wanted, "name", "left_semi")
+
+
 class SessionTable:
     """Sessions as versions in an append-only table: a save is committed whole, the last version of a session counts, and one without messages is gone."""
 

@@ -414,3 +414,22 @@ def test_normalized_binds_its_norm(spark):
     assert plan.first().u == [0.6, 0.8]
     text_ = plan._jdf.queryExecution().analyzed().toString()
     assert text_.count("aggregate(") == 1
+
+
+def test_retry_delay(spark):
+    rows = [(1, 0.0, None), (2, 0.25, "0.5"), (3, 1.0, " 7 "), (9, 0.5, ""), (1, 0.0, "Wed, 21 Oct 2026 07:28:00 GMT"), (1, 0.0, "-3"), (1, 0.0, "5."), (1, 0.0, ".75")]
+    df = spark.createDataFrame(rows, "attempt int, jitter double, hint string").select(text.retry_delay(F.col("attempt"), F.col("jitter"), F.col("hint")))
+    assert [r[0] for r in df.collect()] == [0.5, 1.25, 7.0, 4.0, 0.5, 0.5, 5.0, 0.75]
+
+
+def test_image_cache(spark, tmp_path):
+    images = lambda *rows: spark.createDataFrame(rows, "name string, content binary")
+    ask = lambda *names: spark.createDataFrame([(n,) for n in names], "name string")
+    got = lambda df: sorted((r.name, bytes(r.content)) for r in df.collect())
+    cache = stores.ImageCache(spark, images(("a", b"1"), ("b", b"2")), f"file://{tmp_path}/cache")
+    assert not cache.sync("one") and cache.sync("one") and cache.stamp() == "one"
+    assert got(cache.images(ask("a", "a", "none", None))) == [("a", b"1")]
+    cache.source = images(("a", b"3"), ("b", b"4"))
+    assert got(cache.images(ask("a", "b"))) == [("a", b"1"), ("b", b"4")]
+    assert not cache.sync("two") and got(cache.images(ask("b", "a"))) == [("a", b"3"), ("b", b"4")]
+    assert got(cache.images(ask())) == []

@@ -1,4 +1,4 @@
-"""Queries over whole texts, tables and vectors, where an older form of the query takes a part."""
+"""Queries over whole texts, tables and vectors, where an older form of the query took a part."""
 
 import hashlib
 
