@@ -12,7 +12,8 @@ Text: character references are decoded, white space within a block becomes one b
 A line break element is white space, inline elements are transparent, as are object and the elements of math.
 
 Defined cases: null and empty pages and pages without text give an empty text; unclosed, unopened and unknown elements
-are taken as browsers do, roughly; repeated rows give repeated results; other columns are kept by ``extract`` (its own columns
+are taken as browsers do, roughly; repeated rows give repeated results; pages of any length and depth are parsed whole, each in one task; of equally
+likely choices for an element keeping comes before dropping, and dropping before leaving it open; other columns are kept by ``extract`` (its own columns
 replace those of the same name); empty tables give empty results.
 """
 
