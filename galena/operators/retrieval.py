@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galena.functions.vectors import dot
 from galena.session import prepared
 
-#: A block of vectors, in memory.
+#: Vectors of queries that a task holds.
 BLOCK_BYTES = 16 << 20
-#: Scores that a task holds at once, and vectors of each side that make them.
-SCORES, QUERIES = 1 << 20, 512
+#: Queries and gallery rows whose scores a task holds at once, and pairs that are scored anew at once.
+QUERIES, PIECE, PAIRS = 512, 2048, 1 << 16
 
 
 def best(df: DataFrame, k: int, by: str = "score", query: str = "q", tie: str = "g") -> DataFrame:
@@ -22,70 +22,215 @@ def best(df: DataFrame, k: int, by: str = "score", query: str = "q", tie: str =
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def best_of(queries: np.ndarray, q: np.ndarray, gallery: np.ndarray, g: np.ndarray, k: int, exclude_self: bool):
-    """(q, g, score) of the k best gallery rows of each query, in bounded pieces of the table of scores."""
-    step = max(k, SCORES // QUERIES)
-    for a in range(0, len(q), QUERIES):
-        ids = q[a : a + QUERIES]
-        who, what, how = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        for b in range(0, len(g), step):
-            own = g[b : b + step]
-            score = queries[a : a + QUERIES] @ gallery[b : b + step].T
-            if exclude_self:
-                score[ids[:, None] == own[None, :]] = -np.inf
-            # all that reach the k-th best of this piece, ties included
-            least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(ids), -np.inf)
-            row, column = np.nonzero((score >= least[:, None]) & (score > -np.inf))
-            who, what, how = np.concatenate([who, row]), np.concatenate([what, own[column]]), np.concatenate([how, score[row, column]])
-            order = np.lexsort((what, -how, who))
-            who, what, how = who[order], what[order], how[order]
-            first = np.flatnonzero(np.concatenate([[True], np.diff(who) > 0])) if len(who) else np.empty(0, np.int64)
-            place = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
-            who, what, how = who[place < k], what[place < k], how[place < k]
-        yield ids[who], what, how
+def unit(x: np.ndarray, by_row: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors in single precision, brought to length 1 (each, or else the longest), and what they were divided by. Nothing overflows."""
+    with np.errstate(all="ignore"):
+        top = np.abs(x).max(axis=1, initial=0.0)
+        top = top if by_row else np.full(len(x), top[np.isfinite(top)].max(initial=0.0))
+        top = np.where((top > 0) & np.isfinite(top), top, 1.0)
+        x = x / top[:, None]
+        size = np.sqrt(np.einsum("ij,ij->i", x, x))
+        size = size if by_row else np.full(len(x), size[np.isfinite(size)].max(initial=0.0))
+        size = np.where((size > 0) & np.isfinite(size), size, 1.0)
+        return np.ascontiguousarray(x / size[:, None], np.float32), top * size
+
+
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, added up in one order whatever their places."""
+    with np.errstate(all="ignore"):
+        return np.einsum("ij,ij->i", a, b)
+
+
+def copies(y: np.ndarray) -> np.ndarray:
+    """How many rows before each are equal to it."""
+    words = np.ascontiguousarray(y).view(np.uint64)
+    sums = words @ (np.random.default_rng(1).integers(0, 1 << 63, words.shape[1], np.uint64) | np.uint64(1))
+    if len(np.unique(sums)) == len(y):
+        return np.zeros(len(y), np.int64)
+    _, same = np.unique(words, axis=0, return_inverse=True)
+    order = np.argsort(same.ravel(), kind="stable")
+    n = np.bincount(same.ravel())
+    out = np.empty(len(y), np.int64)
+    out[order] = np.arange(len(y)) - np.repeat(np.cumsum(n) - n, n)
+    return out
+
+
+class Nearest:
+    """The k best gallery rows of each query in one of several spaces, while the gallery passes in batches; ties by the smaller id.
+
+    Scores in single precision, whose error is bounded, only tell which pairs can't be among the k best. All others are scored in double precision, in the
+    same way wherever they stand, so equal vectors have equal scores. Scores that are no number are left out.
+    """
+
+    def __init__(self, tables: list[np.ndarray], space: int, ids: np.ndarray, k: int, exclude_self: bool):
+        self.tables, self.space, self.ids, self.k, self.exclude_self = tables, space, ids, k, exclude_self
+        x = tables[space]
+        self.small, self.size = unit(x, True)
+        self.odd = np.isinf(x).any(axis=1)
+        self.slack = (x.shape[1] + 16) * 2.0**-22
+        self.least = np.where(np.isnan(x).any(axis=1), np.inf, -np.inf)  # the k-th best score so far; without any number nothing counts
+        self.kept = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, len(tables)))
+        self.new, self.n_new, self.seen = [], 0, 0
+        self.scores = np.empty(QUERIES * PIECE, np.float32)
+
+    def add(self, tables: list[np.ndarray], ids: np.ndarray) -> None:
+        """Gallery rows, in ascending order of ids."""
+        y = tables[self.space]
+        use = ~np.isnan(y).any(axis=1)
+        if len(np.unique(ids)) == len(ids):  # of equal vectors the first k can count, and one more where the query itself is among them
+            use &= copies(y) <= self.k
+        tables, ids = [x[use] for x in tables], ids[use]
+        if not len(ids):
+            return
+        small, size = unit(tables[self.space], False)
+        odd = np.isinf(tables[self.space]).any(axis=1)
+        b = 0
+        while b < len(ids):
+            step = min(PIECE, max(PIECE // 8, self.seen), len(ids) - b)
+            piece = slice(b, b + step)
+            for a in range(0, len(self.ids), QUERIES):
+                self.screen(slice(a, min(a + QUERIES, len(self.ids))), [x[piece] for x in tables], ids[piece], small[piece], size[0], odd[piece])
+                if self.n_new > max(4 * PAIRS, 4 * self.k * len(self.ids)):
+                    self.merge()
+            b += step
+            self.seen += step
+            if self.n_new >= self.k * len(self.ids) or self.n_new and self.seen <= 2 * PIECE:
+                self.merge()
+
+    def screen(self, at: slice, tables: list[np.ndarray], ids: np.ndarray, small: np.ndarray, longest: float, odd: np.ndarray) -> None:
+        rare = odd.any() or self.odd[at].any()
+        with np.errstate(all="ignore"):
+            m, n = at.stop - at.start, len(ids)
+            score = np.matmul(self.small[at], small.T, out=self.scores[: m * n].reshape(m, n))
+            least = self.least[at] / (self.size[at] * longest) - self.slack
+            if (least == -np.inf).any():
+                if self.exclude_self:
+                    score[self.ids[at][:, None] == ids[None, :]] = -np.inf
+                if score.shape[1] > self.k and not rare:
+                    score[np.isnan(score)] = -np.inf
+                    least = np.fmax(least, np.partition(score, -self.k, axis=1)[:, -self.k] - 2 * self.slack)
+            if rare:  # infinite numbers
+                score[:, odd] = np.inf
+                score[self.odd[at]] = np.inf
+            least = np.nextafter(least.astype(np.float32), np.float32(-np.inf))
+            few = np.flatnonzero(score.max(axis=1) >= least)  # most queries have no row in a piece
+            found = np.flatnonzero(score[few] >= least[few, None])
+        for c in range(0, len(found), PAIRS):
+            row, column = np.divmod(found[c : c + PAIRS], score.shape[1])
+            row = few[row]
+            own = dots(self.tables[self.space][row + at.start], tables[self.space][column])
+            keep = (own >= self.least[row + at.start]) & (own > -np.inf)
+            if self.exclude_self:
+                keep &= self.ids[row + at.start] != ids[column]
+            row, column = row[keep] + at.start, column[keep]
+            self.new.append((row, ids[column], np.column_stack([own[keep] if s == self.space else dots(x[row], y[column]) for s, (x, y) in enumerate(zip(self.tables, tables, strict=True))])))
+            self.n_new += len(row)
+
+    def merge(self) -> None:
+        who, what, how = (np.concatenate(x) for x in zip(self.kept, *self.new, strict=True))
+        short = who.astype(np.uint16) if len(self.ids) <= 1 << 16 else who  # sorted by their digits
+        order = np.argsort(-how[:, self.space])
+        order = order[np.argsort(short[order], kind="stable")]
+        score = how[order, self.space]
+        if ((score[1:] == score[:-1]) & (who[order[1:]] == who[order[:-1]])).any():
+            order = np.lexsort((what, -how[:, self.space], who))
+        who, what, how = who[order], what[order], how[order]
+        n = np.bincount(who, minlength=len(self.ids))
+        place = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+        last = place == self.k - 1
+        self.least[who[last]] = how[last, self.space]
+        self.kept = who[place < self.k], what[place < self.k], how[place < self.k]
+        self.new, self.n_new = [], 0
+
+
+def united(found: list[Nearest]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the query, id and scores of what is among the k best in some space, once each."""
+    for f in found:
+        f.merge()
+    who, what, how = (np.concatenate(x) for x in zip(*(f.kept for f in found), strict=True))
+    if len(found) > 1:
+        order = np.lexsort((*how.T, what, who))
+        who, what, how = who[order], what[order], how[order]
+        new = np.ones(len(who), bool)
+        new[1:] = (who[1:] != who[:-1]) | (what[1:] != what[:-1]) | ((how[1:] != how[:-1]) & ~(np.isnan(how[1:]) & np.isnan(how[:-1]))).any(axis=1)
+        who, what, how = who[new], what[new], how[new]
+    return who, what, how
+
+
+def table_of(column, d: int) -> np.ndarray:
+    """An Arrow column of lists of d numbers; a null list is a row without a number."""
+    given = np.asarray(column.is_valid().to_numpy(zero_copy_only=False))
+    out, lists = np.full((len(given), d), np.nan), column.drop_null()
+    if (np.diff(lists.offsets.to_numpy()) != d).any():
+        raise ValueError(f"vectors of {d} numbers are asked for")
+    out[given] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+    return out
+
+
+def nearest(queries: DataFrame, gallery: DataFrame, spaces: list[str], k: int, exclude_self: bool, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """q, g and the score in each space of all that is among the k best of some space. Exact.
+
+    Queries are dealt to blocks by a hash; a task holds one block, and the gallery passes it in batches. What is shuffled is the queries once and the
+    gallery for each block. Nothing passes through the driver but a count and a length. Rows without an id are left out; a null vector has no score.
+    """
+    spark = prepared(queries.sparkSession)
+    queries, gallery = (x.select(F.col(n).cast("long").alias("id"), *spaces).filter("id is not null") for x, n in ((queries, "q"), (gallery, "g")))
+    size = queries.select(*(F.size(s).alias(s) for s in spaces))
+    dims = [r[s] if (r := size.filter(F.col(s) >= 0).select(s).first()) else 0 for s in spaces]
+    rows, tasks = queries.count(), spark.sparkContext.defaultParallelism
+    n = max(1, -(-rows * sum(dims) * 8 // block_bytes), min(2 * tasks, -(-rows // 256)))
+    columns = ["id", *(c if queries.schema[s].dataType == gallery.schema[s].dataType else c.cast("array<double>") for s in spaces for c in [F.col(s)])]
+    left = queries.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("i"), F.lit(0).alias("side"), *columns)
+    right = gallery.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.lit(1).alias("side"), *columns)
+    names = [f"s{i}" for i in range(len(spaces))]
+    dealt = left.toDF("i", "side", "id", *names).unionByName(right.toDF("i", "side", "id", *names)).repartitionById(n, F.col("i")).sortWithinPartitions("i", "side")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def result(ids, found):
+            who, what, how = united(found)
+            for a in range(0, len(who), 10_000):
+                part = slice(a, a + 10_000)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[who[part]]), pa.array(what[part]), *(pa.array(c) for c in how[part].T)], names=["q", "g", *names])
+
+        block, asked, found, ids = None, [], None, None
+        for batch in batches:
+            key = batch.column("i").to_numpy() * 2 + batch.column("side").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for a, b in itertools.pairwise(edges) if len(key) else ():
+                i, side = divmod(int(key[a]), 2)
+                if i != block:
+                    if found:
+                        yield from result(ids, found)
+                    block, asked, found = i, [], None
+                part = batch.slice(a, b - a)
+                if side == 0:
+                    asked.append((part.column("id").to_numpy(), [table_of(part.column(c), d) for c, d in zip(names, dims, strict=True)]))
+                elif asked:
+                    if found is None:
+                        ids, tables = np.concatenate([x for x, _ in asked]), [np.concatenate(x) for x in zip(*(y for _, y in asked), strict=True)]
+                        found = [Nearest(tables, s, ids, k, exclude_self) for s in range(len(names))]
+                    own, order = part.column("id").to_numpy(), np.argsort(part.column("id").to_numpy(), kind="stable")
+                    tables = [table_of(part.column(c), d)[order] for c, d in zip(names, dims, strict=True)]
+                    for f in found:
+                        f.add(tables, own[order])
+        if found:
+            yield from result(ids, found)
+
+    out = dealt.mapInArrow(run, "q long, g long, " + ", ".join(f"{c} double" for c in names))
+    return out.select("q", "g", *(F.when(~F.isnan(c), F.col(c)).alias(s) for c, s in zip(names, spaces, strict=True)))
 
 
 def vector_topk(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """q, g, score, rank: the k gallery rows (g, vec) of largest dot product for each query (q, vec). Exact.
-
-    Both sides are dealt to blocks by a hash, and each pair of blocks meets in one task, which scores it piece by piece and keeps k rows a query. A task
-    holds two blocks, however long the tables are; what is shuffled is each side times the blocks of the other, and k x queries x blocks of the
-    gallery. Nothing passes through the driver but the two counts. Rows with a null id or vector are left out.
-    """
-    prepared(queries.sparkSession)
-    queries, gallery = (x.select(n, "vec").filter(f"{n} is not null and vec is not null") for x, n in ((queries, "q"), (gallery, "g")))
-    facts = [x.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("d")).first() for x in (queries, gallery)]
-    tasks = queries.sparkSession.sparkContext.defaultParallelism
-    n_q, n_g = (max(1, -(-f.n * f.d * 8 // block_bytes)) for f in facts)
-    n_g = max(n_g, min(-(-tasks // n_q), -(-facts[1].n // 4096)))  # small tables too are worth more than one task
-    block = lambda n, name: F.pmod(F.xxhash64(name, "vec"), F.lit(n))
-    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("q", F.col("vec").cast("array<double>").alias("vec"), block(n_q, "q").cast("int").alias("i"), all_(n_g).alias("j"))
-    right = gallery.select("g", F.col("vec").cast("array<double>").alias("vec"), all_(n_q).alias("i"), block(n_g, "g").cast("int").alias("j"))
-
-    def search(a, b):
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        if len(a) and len(b):
-            found += best_of(np.stack(a.vec.to_list()), a.q.to_numpy(np.int64), np.stack(b.vec.to_list()), b.g.to_numpy(np.int64), k, exclude_self)
-        return pd.DataFrame(dict(zip(("q", "g", "score"), (np.concatenate(x) for x in zip(*found, strict=True)), strict=True)))
-
-    return best(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(search, "q long, g long, score double"), k)
+    """q, g, score, rank: the k gallery rows (g, vec) of largest dot product for each query (q, vec). Exact. Rows with a null id or vector are left out."""
+    return best(nearest(queries, gallery, ["vec"], k, exclude_self, block_bytes).withColumnRenamed("vec", "score"), k)
 
 
 def merged_lists(queries: DataFrame, gallery: DataFrame, spaces: list[str], k: int, exclude_self: bool = False) -> DataFrame:
-    """q, g and the score in each space of all that is among the k best of some space: the lists are joined in full, and only the scores that a
-    pair lacks are computed. queries: q and a vector column for each space; gallery: g and the same."""
-    merged = None
-    for s in spaces:
-        found = vector_topk(queries.select("q", F.col(s).alias("vec")), gallery.select("g", F.col(s).alias("vec")), k, exclude_self).select("q", "g", F.col("score").alias(s))
-        merged = found if merged is None else merged.join(found, ["q", "g"], "full")
-    whole = F.lit(True)
-    for s in spaces:
-        whole = whole & F.col(s).isNotNull()
-    left = queries.select("q", *(F.col(s).alias(f"q_{s}") for s in spaces))
-    right = gallery.select("g", *(F.col(s).alias(f"g_{s}") for s in spaces))
-    filled = merged.filter(~whole).join(left, "q").join(right, "g").select("q", "g", *(F.coalesce(s, dot(F.col(f"q_{s}"), F.col(f"g_{s}"))).alias(s) for s in spaces))
-    return merged.filter(whole).select("q", "g", *spaces).unionByName(filled)
+    """q, g and the score in each space of all that is among the k best of some space: the spaces are searched side by side, and a pair is scored in all
+    of them where both its vectors are. queries: q and a vector column for each space; gallery: g and the same."""
+    return nearest(queries, gallery, spaces, k, exclude_self)
 
 
 def hybrid_topk(queries: DataFrame, gallery: DataFrame, spaces: list[str], k: int, exclude_self: bool = False) -> DataFrame:

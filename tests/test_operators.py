@@ -433,3 +433,35 @@ def test_image_cache(spark, tmp_path):
     assert got(cache.images(ask("a", "b"))) == [("a", b"1"), ("b", b"4")]
     assert not cache.sync("two") and got(cache.images(ask("b", "a"))) == [("a", b"3"), ("b", b"4")]
     assert got(cache.images(ask())) == []
+
+
+def test_nearest_in_batches(spark):
+    """Copies, huge and tiny numbers, null vectors and self-exclusion, with more rows than a batch of the gallery holds."""
+    rng = np.random.default_rng(11)
+    a, b = rng.normal(size=(900, 6)), rng.normal(size=(900, 3))
+    a[100:200] = a[7]
+    a[300], a[301], a[302] = a[300] * 1e200, a[301] * 1e-200, 0
+    rows = [(i, None if i == 400 else x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(a, b, strict=True))]
+    df = spark.createDataFrame([*rows, (None, [0.0] * 6, [0.0] * 3)], "g long, a array<double>, b array<double>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        got = retrieval.nearest(df.withColumnRenamed("g", "q"), df, ["a", "b"], 4, True, 9_000).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    a[400] = np.nan
+    score = {n: np.stack([retrieval.dots(np.repeat(x[i : i + 1], 900, 0), x) for i in range(900)]) for n, x in (("a", a), ("b", b))}
+    want = set()
+    for s in score.values():
+        s = np.where(np.isnan(s), -np.inf, s)
+        np.fill_diagonal(s, -np.inf)
+        want |= {(q, int(g)) for q in range(900) for g in np.lexsort((np.arange(900), -s[q]))[:4] if s[q, g] > -np.inf}
+    assert len(got) == len(want) and {(r.q, r.g) for r in got} == want
+    for r in got:
+        assert r.b == score["b"][r.q, r.g] and (r.a == score["a"][r.q, r.g] if 400 not in (r.q, r.g) else r.a is None)
+
+
+def test_search_is_dealt_once(spark):
+    """A search in two spaces deals vectors once and hands no scores from task to task but the best."""
+    df = spark.range(50).selectExpr("id as g", "array(sin(id), cos(id)) as a", "array(cos(id), sin(id)) as b")
+    plan = retrieval.merged_lists(df.withColumnRenamed("g", "q"), df, ["a", "b"], 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 0 and plan.count("MapInArrow") == 1
