@@ -21,7 +21,11 @@ def routed(candidates: DataFrame, picks: DataFrame) -> DataFrame:
     single candidate goes on by itself. Without finalists the query is rejected; one finalist out of a pick is the match;
     otherwise the final round decides.
     """
-    groups = candidates.groupBy("q", "grp").agg(F.count("*").alias("n"), F.min_by("g", "place").alias("only"), F.min("place").alias("place"))
+    return routed_groups(candidates.groupBy("q", "grp").agg(F.count("*").alias("n"), F.min_by("g", "place").alias("only"), F.min("place").alias("place")), picks)
+
+
+def routed_groups(groups: DataFrame, picks: DataFrame) -> DataFrame:
+    """As routed, from a row for each group: q, grp, n, only (its first candidate), place (of that one)."""
     picked = picks.filter(F.col("round") == "group").select("q", "grp", F.col("g").alias("pick"))
     final = picks.filter(F.col("round") == "final").select("q", F.col("g").alias("final_pick"))
     one = groups.join(picked, ["q", "grp"], "left").withColumn("finalist", F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("pick")))

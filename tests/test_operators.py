@@ -465,3 +465,57 @@ def test_search_is_dealt_once(spark):
     df = spark.range(50).selectExpr("id as g", "array(sin(id), cos(id)) as a", "array(cos(id), sin(id)) as b")
     plan = retrieval.merged_lists(df.withColumnRenamed("g", "q"), df, ["a", "b"], 3)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 0 and plan.count("MapInArrow") == 1
+
+
+def by_window(kept, hits, members, exclude_self):
+    """What expanded gives, by sorting all members of all groups."""
+    from pyspark.sql import Window
+
+    found = hits.select("q", "g", F.col("score").alias("hit"))
+    out = kept.join(members.select("g", "grp"), "grp")
+    out = (out.filter("q <> g") if exclude_self else out).join(found, ["q", "g"], "left")
+    order = Window.partitionBy("q").orderBy("grank", F.desc(F.col("hit").isNotNull()), F.desc("hit"), "g")
+    return sorted((r.q, r.grp, r.g, r.score, r.retrieved, r.place) for r in out.select("q", "grp", "g", F.coalesce("hit", "gscore").alias("score"), F.col("hit").isNotNull().alias("retrieved"), F.row_number().over(order).alias("place")).collect())
+
+
+@pytest.mark.parametrize("itself", [False, True])
+def test_expansion_against_window(spark, monkeypatch, itself):
+    """Places of hits and other members, across lists of few members, with groups of one and queries within and without."""
+    monkeypatch.setattr(retrieval, "MEMBERS", 3)
+    rng = np.random.default_rng(12)
+    groups = [int(x) for x in rng.integers(0, 6, 60)]
+    members = spark.createDataFrame([(i, x) for i, x in enumerate(groups)] + [(60, 9), (61, 8), (62, 8)], "g long, grp long")
+    hits = [(q, int(g), float(rng.integers(1, 9)) / 8) for q in [*range(0, 60, 3), 60, 61, 70] for g in rng.choice(60, 7, replace=False) if not itself or g != q]
+    hits = spark.createDataFrame(hits, "q long, g long, score double").join(members, "g")
+    kept = retrieval.kept_groups(retrieval.group_scores(hits), 0.4, 0.7)
+    kept = kept.unionByName(spark.createDataFrame([(60, 9, 0.1, 8), (61, 8, 0.1, 8), (70, 8, 0.1, 8)], "q long, grp long, gscore double, grank int"))
+    want = by_window(kept, hits, members, itself)
+    whole = retrieval.expanded(kept, hits, members, itself)
+    rows = lambda df: sorted((r.q, r.grp, r.g, r.score, r.retrieved, r.place) for r in df.collect())
+    assert rows(whole) == want and len(want) > 300
+    for n in (1, 6):
+        assert rows(retrieval.expanded(kept, hits, members, itself, first=n)) == [r for r in want if r[5] <= n]
+    one = {}
+    for q, grp, g, _, _, place in sorted(want, key=lambda r: (r[0], r[5])):
+        n, only, at = one.get((q, grp), (0, g, place))
+        one[q, grp] = n + 1, only, at
+    assert {(r.q, r.grp): (r.n, r.only, r.place) for r in retrieval.heads(kept, hits, members, itself).collect()} == one
+
+
+def test_routing_joins_no_members(spark, sf, monkeypatch):
+    """Routing and similar lists don't expand groups; expansion itself sorts and shuffles no expanded row."""
+    from galena.plans import common, registry
+
+    def refused(*a, first=None, **k):
+        assert first is not None, "all members of a query's groups"
+        return real(*a, first=first, **k)
+
+    real = retrieval.expanded
+    monkeypatch.setattr(retrieval, "expanded", refused)
+    for name in ("A8_stage_decision", "A10_two_round_routing", "A14_similar_list"):
+        assert registry.QUERIES[name](spark, sf).count() > 0
+    monkeypatch.undo()
+    plan = common.candidates(spark, sf)[1]._jdf.queryExecution().sparkPlan().toString().splitlines()
+    made = next(i for i, x in enumerate(plan) if "posexplode(slice" in x)
+    until = next(i for i, x in enumerate(plan) if i > made and "Join" in x)
+    assert all("Generate" in x or "Project" in x or "Filter" in x for x in plan[made:until])
