@@ -19,11 +19,39 @@ def relative_features(df: DataFrame, image: str, conf: str, area: str, tie: list
     )
 
 
-def crowd(df: DataFrame, image: str, key: list[str], conf: str, area: str, least: float = 0.5, low: float = 0.5, high: float = 2.0) -> DataFrame:
-    """key, crowd: how many other confident candidates of the image are of similar area; key tells the candidates of an image apart. Counted as the difference
-    of two running counts over areas, not by pairs, so an image may have any number of candidates."""
-    sure = (F.col(conf) >= least) & F.col(area).isNotNull()
-    own = df.select(F.col(image).alias("img"), F.struct(*key).alias("who"), F.coalesce(sure, F.lit(False)).cast("long").alias("sure"), F.col(area).alias("area"))
+#: Candidates of an image that are compared where they are; images of more are counted in ranges of areas.
+CROWD = 64
+
+
+def crowd(df: DataFrame, image: str, key: list[str], conf: str, area: str, least: float = 0.5, low: float = 0.5, high: float = 2.0, repeated: bool = False) -> DataFrame:
+    """key, crowd: how many other confident candidates of the image are of similar area; key tells the candidates of an image apart. Where rows may be
+    repeated, one of each key counts. An image may have any number of candidates: those of few are compared in a row for each image, after one
+    exchange; those of many are counted as differences of running counts over areas, not by pairs."""
+    rows = df.select(F.col(image).alias("img"), *key, F.col(conf).alias("__conf"), F.col(area).alias("__area"))
+    many = rows.groupBy("img").count().filter(F.col("count") > CROWD).select(F.col("img").alias("__many"))
+    whole = lambda x: x.dropDuplicates(["img", *key]) if repeated else x
+    same = F.col("img").eqNullSafe(F.col("__many"))
+    if many.isEmpty():
+        out = crowd_of_few(whole(rows.repartition("img")), key, least, low, high)
+    else:
+        few, rest = rows.join(many, same, "left_anti"), rows.join(many, same, "left_semi")
+        out = crowd_of_few(whole(few.repartition("img")), key, least, low, high).unionByName(crowd_of_many(whole(rest), key, least, low, high))
+    return out.withColumnRenamed("img", image)
+
+
+def crowd_of_few(rows: DataFrame, key: list[str], least: float, low: float, high: float) -> DataFrame:
+    sure = F.coalesce((F.col("__conf") >= least) & F.col("__area").isNotNull(), F.lit(False))
+    one = F.struct(*key, sure.alias("__sure"), F.col("__area"))
+    images = rows.groupBy("img").agg(F.collect_list(one).alias("all"), F.collect_list(F.when(sure, F.col("__area"))).alias("areas"))
+    of = images.select("img", "areas", F.inline("all"))
+    near = F.size(F.filter("areas", lambda x: (x >= F.col("__area") * low) & (x <= F.col("__area") * high)))
+    own = (F.col("__sure") & (F.col("__area") >= F.col("__area") * low) & (F.col("__area") <= F.col("__area") * high)).cast("int")
+    return of.select("img", *key, F.when(F.col("__area").isNull(), 0).otherwise(near - own).cast("long").alias("crowd"))
+
+
+def crowd_of_many(df: DataFrame, key: list[str], least: float, low: float, high: float) -> DataFrame:
+    sure = (F.col("__conf") >= least) & F.col("__area").isNotNull()
+    own = df.select("img", F.struct(*key).alias("who"), F.coalesce(sure, F.lit(False)).cast("long").alias("sure"), F.col("__area").alias("area"))
     # the candidate itself, and the ends of its range: areas below the one and up to the other count
     marks = F.array(*(F.struct(v.alias("at"), F.lit(o).alias("kind")) for v, o in ((F.col("area"), 1), (F.col("area") * low, 0), (F.col("area") * high, 2))))
     events = own.filter("area is not null").select("img", "who", "sure", F.inline(marks))
@@ -32,7 +60,7 @@ def crowd(df: DataFrame, image: str, key: list[str], conf: str, area: str, least
     ends = lambda k: F.max(F.when(F.col("kind") == k, F.col("before")))
     near = placed.filter("kind <> 1").groupBy("img", "who").agg((ends(2) - ends(0) - F.max("sure")).alias("crowd"))
     out = near.unionByName(own.filter("area is null").select("img", "who", F.lit(0).cast("long").alias("crowd")))
-    return out.select(F.col("img").alias(image), *(F.col("who")[c].alias(c) for c in key), "crowd")
+    return out.select("img", *(F.col("who")[c].alias(c) for c in key), "crowd")
 
 
 def logistic(features: list[Column], mean: list[float], std: list[float], coef: list[float], intercept: float) -> Column:

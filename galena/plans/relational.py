@@ -20,9 +20,13 @@ from .registry import query
 LINE = ["l_linenumber", "l_partkey", "l_suppkey"]
 
 
+def lines(spark, sf):
+    """Candidates of images, perhaps repeated: an order is an image, its lines are candidates."""
+    return t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("img"), *LINE, (F.col("l_discount") * 10).alias("conf"), F.col("l_extendedprice").alias("area"), "l_quantity", "l_tax", "l_returnflag")
+
+
 def images(spark, sf):
-    """Candidates of images: an order is an image, its lines are candidates."""
-    return t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("img"), *LINE, (F.col("l_discount") * 10).alias("conf"), F.col("l_extendedprice").alias("area"), "l_quantity", "l_tax", "l_returnflag").dropDuplicates(["img", *LINE])
+    return lines(spark, sf).dropDuplicates(["img", *LINE])
 
 
 IMAGES = "im AS (SELECT DISTINCT ON (l_orderkey, l_linenumber, l_partkey, l_suppkey) l_orderkey img, l_linenumber, l_partkey, l_suppkey, l_discount * 10 conf, l_extendedprice area, l_quantity, l_tax, l_returnflag FROM lineitem)"
@@ -520,7 +524,7 @@ def w1(spark, sf):
 
 @query("W2_crowd", f"WITH {IMAGES} SELECT a.img, a.l_linenumber, a.l_partkey, a.l_suppkey, count(b.img) AS crowd FROM im a LEFT JOIN im b ON a.img = b.img AND (a.l_linenumber, a.l_partkey, a.l_suppkey) <> (b.l_linenumber, b.l_partkey, b.l_suppkey) AND b.conf >= 0.5 AND b.area BETWEEN 0.5 * a.area AND 2 * a.area GROUP BY ALL")
 def w2(spark, sf):
-    return scoring.crowd(images(spark, sf), "img", LINE, "conf", "area")
+    return scoring.crowd(lines(spark, sf), "img", LINE, "conf", "area", repeated=True)
 
 
 QUOTA = f"{IMAGES}, ok AS (SELECT *, conf >= 0.2 AND l_quantity >= 10 v, l_quantity >= 10 c FROM im), pv AS (SELECT *, coalesce(sum(CASE WHEN v THEN 1 ELSE 0 END) OVER (PARTITION BY img ORDER BY conf DESC, l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b FROM ok)"

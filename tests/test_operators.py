@@ -519,3 +519,16 @@ def test_routing_joins_no_members(spark, sf, monkeypatch):
     made = next(i for i, x in enumerate(plan) if "posexplode(slice" in x)
     until = next(i for i, x in enumerate(plan) if i > made and "Join" in x)
     assert all("Generate" in x or "Project" in x or "Filter" in x for x in plan[made:until])
+
+
+def test_crowd_of_few_and_many(spark, monkeypatch):
+    """Images of few and of many candidates in one table, with repeated rows; where all have few, no range of areas is counted."""
+    rng = np.random.default_rng(13)
+    rows = [(i // 5 if i < 100 else 99, i, float(rng.integers(0, 10)) / 10, float(rng.integers(1, 30))) for i in range(300)]
+    df = spark.createDataFrame([*rows, *rows[:7], *rows[-7:], (0, 999, 0.9, None)], "img long, k long, conf double, area double")
+    want = {k: sum(o[0] == img and o[1] != k and o[2] >= 0.5 and 0.5 * area <= o[3] <= 2 * area for o in rows) for img, k, _, area in rows} | {999: 0}
+    got = scoring.crowd(df, "img", ["k"], "conf", "area", repeated=True).collect()
+    assert len(got) == len(want) and {r.k: r.crowd for r in got} == want
+    monkeypatch.setattr(scoring, "running_total", None)
+    got = scoring.crowd(df.filter("img < 20"), "img", ["k"], "conf", "area", repeated=True).collect()
+    assert {r.k: r.crowd for r in got} == {k: n for k, n in want.items() if k < 100 or k == 999}
