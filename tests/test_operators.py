@@ -521,6 +521,26 @@ def test_routing_joins_no_members(spark, sf, monkeypatch):
     assert all("Generate" in x or "Project" in x or "Filter" in x for x in plan[made:until])
 
 
+def test_modes_search_once(spark, sf, monkeypatch):
+    """Both modes read one search, each its own n of it, and scores are rounded once a group, not once a member."""
+    from galena.plans import common, plugins, registry
+
+    real, asked = retrieval.vector_topk, []
+    monkeypatch.setattr(retrieval, "vector_topk", lambda *a, **k: asked.append(a) or real(*a, **k))
+    plan = registry.QUERIES["D7_modes"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = next(i for i, x in enumerate(plan) if "posexplode(slice" in x)
+    assert len(asked) == 1 and "Project" in plan[made - 1] and "round(" not in plan[made - 1]
+    gallery = common.embeddings(spark, sf).filter("g < 90").withColumn("grp", F.col("g") % 7)
+    queries = gallery.select(F.col("g").alias("q"), "vec")
+    modes = {"top": plugins.TopN(2, 0.5), "few": plugins.Groups(3, 2, 0.2, None), "near": plugins.Groups(6, 3, 0.2, 0.8)}
+    rows = lambda df: sorted((r.q, r.g, r.score, r.place) for r in df.collect())
+    got = plugins.by_modes(gallery, modes, queries, lambda c: F.round(c, 3))
+    assert len(asked) == 2
+    for name, mode in modes.items():
+        alone = plugins.GallerySearcher(gallery, mode).search(queries)
+        assert rows(got.filter(F.col("mode") == name)) == rows(alone.withColumn("score", F.round("score", 3))) != []
+
+
 def test_crowd_of_few_and_many(spark, monkeypatch):
     """Images of few and of many candidates in one table, with repeated rows; where all have few, no range of areas is counted."""
     rng = np.random.default_rng(13)
