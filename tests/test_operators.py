@@ -541,6 +541,16 @@ def test_modes_search_once(spark, sf, monkeypatch):
         assert rows(got.filter(F.col("mode") == name)) == rows(alone.withColumn("score", F.round("score", 3))) != []
 
 
+def test_expansion_in_many_tasks(spark):
+    """Members are made in many tasks, even if the rows that they are made of would fit into one; also where there is a single group."""
+    members = spark.range(2000).select(F.col("id").alias("g"), F.lit(1).alias("grp"))
+    hits = spark.range(400).select(F.col("id").alias("q"), F.col("id").alias("g"), F.lit(1.0).alias("score"), F.lit(1).alias("grp"))
+    kept = retrieval.group_scores(hits)
+    rest = retrieval.expanded(kept, hits, members).filter("not retrieved")
+    sizes = sorted((r["count"] for r in rest.groupBy(F.spark_partition_id()).count().collect()), reverse=True)
+    assert sum(sizes) == 400 * 1999 and len(sizes) >= 8 and sizes[0] <= sum(sizes) / 4
+
+
 def test_crowd_of_few_and_many(spark, monkeypatch):
     """Images of few and of many candidates in one table, with repeated rows; where all have few, no range of areas is counted."""
     rng = np.random.default_rng(13)
